@@ -1,8 +1,8 @@
 """Queries of the training-data operators and their SQL."""
 
-from tessera.llm import q_capping, q_neighbours
+from tessera.llm import q_capping, q_clusters, q_neighbours
 
-_MODULES = (q_capping, q_neighbours)
+_MODULES = (q_capping, q_neighbours, q_clusters)
 
 
 def queries() -> dict:
