@@ -4,16 +4,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space around an id.
+BLANKS = " \t\n\x0b\f\r"
+
+
 def uuid_hex(c: Column) -> Column:
     """32 lower-case hex digits of a freely spelled UUID; NULL for anything that is not one.
 
     Outer white space, letter case, hyphens, one pair of braces and a leading ``urn:uuid:`` are ignored.
     """
-    s = F.regexp_replace(F.lower(c), r"^\s+|\s+$", "")
-    s = F.regexp_replace(s, r"^urn:uuid:", "")
-    s = F.regexp_replace(s, r"^\{(.*)\}$", "$1")
-    s = F.regexp_replace(s, r"^urn:uuid:|-", "")
-    return F.when(s.rlike(r"^[0-9a-f]{32}$"), s)
+    s = F.trim(F.lower(c), F.lit(BLANKS))
+    s = F.when(s.startswith("urn:uuid:"), F.substring(s, 10, 1000)).otherwise(s)
+    s = F.when(s.startswith("{") & s.endswith("}"), F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+    s = F.translate(F.when(s.startswith("urn:uuid:"), F.substring(s, 10, 1000)).otherwise(s), "-", "")
+    return F.when((F.length(s) == 32) & (F.translate(s, "0123456789abcdef", "") == ""), s)
 
 
 def canonical_uuid(c: Column) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import hex_to_long, refers_to_something, uuid_hex
+from tessera.plans.lineage import cut
 
 #: Keys per block: runs end at block borders, so that no window ever holds more than 2**20 distinct keys.
 BLOCK_BITS = 20
@@ -67,9 +68,10 @@ def orphan_references(runs: DataFrame, parents: DataFrame) -> DataFrame:
     parent rows ingested up to a moment, the latest deletion decides. The running maximum is split by day (day
     totals, prefix over days, rows within a day), so a key that holds a third of all rows is no single group.
     """
-    refs = with_key(run_references(runs), "ref")
+    refs = cut(with_key(run_references(runs), "ref"))
     p = with_key(parents.select("asset_id", "ingested_ts", "deleted_ts"), "asset_id").filter("k_hi IS NOT NULL")
     p = p.select("k_hi", "k_lo", F.col("ingested_ts").alias("ts"), "deleted_ts").distinct()
+    p = cut(p)
 
     held = match_runs(refs, key_runs(p))
     never, always = F.lit("0001-01-01").cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz")
