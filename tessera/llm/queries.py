@@ -1,8 +1,8 @@
 """Queries of the training-data operators and their SQL."""
 
-from tessera.llm import q_capping, q_clusters, q_names, q_neighbours
+from tessera.llm import q_capping, q_clusters, q_encoding, q_mixing, q_names, q_neighbours
 
-_MODULES = (q_names, q_neighbours, q_clusters, q_capping)
+_MODULES = (q_names, q_neighbours, q_clusters, q_capping, q_encoding, q_mixing)
 
 
 def queries() -> dict:
