@@ -72,7 +72,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     Documents without tokens or without a doc_id stay out. Selection is by hash of the id, so a document keeps its
     place when the corpus grows. ``targets`` is a table of sources, which is small by its nature.
     """
-    hashed = sizes.filter("n_tokens > 0 AND source IS NOT NULL AND doc_id IS NOT NULL")
+    hashed = sizes.select("doc_id", "source", "n_tokens").filter("n_tokens > 0 AND source IS NOT NULL AND doc_id IS NOT NULL")
     hashed = hashed.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 64 - HASH_BITS))
     plan = cut(mixture_plan(hashed, targets, total_tokens))
     below = thresholds(hashed, plan)
