@@ -26,7 +26,8 @@ def key_runs(keys: DataFrame) -> DataFrame:
     d = keys.filter("k_hi IS NOT NULL AND k_lo IS NOT NULL").select("k_hi", "k_lo").distinct()
     d = d.withColumn("block", F.shiftright("k_lo", BLOCK_BITS))
     w = W.partitionBy("k_hi", "block").orderBy("k_lo")
-    d = d.withColumn("run_no", F.col("k_lo") - F.row_number().over(w))
+    inside = F.col("k_lo").bitwiseAND(F.lit(2**BLOCK_BITS - 1))
+    d = d.withColumn("run_no", inside - F.row_number().over(w))
     return d.groupBy("k_hi", "block", "run_no").agg(F.min("k_lo").alias("run_start"), F.max("k_lo").alias("run_end"), F.count("*").alias("n_keys")).drop("run_no")
 
 
