@@ -25,5 +25,4 @@ def curate(people: DataFrame, asset_person: DataFrame, faces: DataFrame, seen: D
     a = A.confident(a.join(f, ["asset_id", "person_id"], "left"), params.min_confidence)
     if params.min_face_count > 0:
         a = a.join(A.min_count(a, params.min_face_count).select("person_id"), "person_id", "left_semi")
-    a = A.capped(a, params.page_cap)
     return A.time_spread(a, "person_id", [F.coalesce("created", F.lit("")), F.col("asset_id")], limit).select("person_id", "asset_id", "confidence")

@@ -13,8 +13,9 @@ from tessera.operators import policy
 from tessera.operators import quality as Q
 from tessera.operators import selection as S
 from tessera.operators import state as T
-from tessera.params import resolve_strategy
+from tessera.params import CurationParams, resolve_strategy
 from tessera.plans.components import connected_components
+from tessera.plans.curate import curate
 from tessera.plans.ranking import rank_in_group
 
 
@@ -46,6 +47,16 @@ def test_time_spread_is_linspace(spark, n, k):
     assert got == want
 
 
+def test_curate_spreads_over_all_photos_of_a_hot_person(spark):
+    n = 5200  # ids run against time: a prefix of the ids would lose the oldest photos
+    people = spark.createDataFrame([("p", "Ann")], "person_id string, name string")
+    photos = spark.range(n).selectExpr("format_string('%05d', id) AS asset_id", "'p' AS person_id", "date_format(timestamp'2024-06-01' - make_interval(0, 0, 0, 0, 0, id), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS file_created_at")
+    faces = spark.createDataFrame([], "face_id bigint, asset_id string, person_id string, x1 int, y1 int, x2 int, y2 int, confidence double")
+    seen = spark.createDataFrame([], "person string, asset_id string, seq bigint")
+    got = sorted(int(r.asset_id) for r in curate(people, photos, faces, seen, CurationParams(), datetime(2025, 1, 1), 10).collect())
+    assert got == sorted(n - 1 - i for i in np.linspace(0, n - 1, 10, dtype=int).tolist())
+
+
 def test_state_fold_is_idempotent(spark):
     log = spark.createDataFrame([("p", "a", 1, 0.5), ("p", "a", 3, None), ("p", "a", 2, 0.7), ("", "a", 1, 1.0), (None, "b", 1, 1.0)], "person string, asset_id string, seq bigint, score double")
     one, two = (sorted(map(tuple, T.fold_marks(x, ["score"]).collect())) for x in (log, log.union(log)))
