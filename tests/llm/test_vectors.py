@@ -127,6 +127,16 @@ def test_loose_components_are_split(spark):
     assert len(rows) == 7 and all(r.cosine >= 0.4 or r.vec_id == r.medoid for r in rows)
 
 
+def test_small_clusters_of_low_cosine_are_whole(spark):
+    x = []
+    for size in [3, 4, 5] * 8:
+        q = np.linalg.qr(rng.standard_normal((512, size + 1)))[0].T
+        x += [np.sqrt(0.43) * q[0] + np.sqrt(0.57) * v for v in q[1:]]  # every pair at 0.43
+    rows = C.similarity_clusters(table(spark, np.array(x))).collect()
+    first = np.repeat(np.cumsum([0, *([3, 4, 5] * 8)])[:-1], [3, 4, 5] * 8)
+    assert {r.vec_id: r.cluster_id for r in rows} == dict(enumerate(first.tolist()))
+
+
 def test_large_buckets_stream_to_their_leaders():
     import pyarrow as pa
 
