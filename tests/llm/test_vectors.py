@@ -137,6 +137,21 @@ def test_small_clusters_of_low_cosine_are_whole(spark):
     assert {r.vec_id: r.cluster_id for r in rows} == dict(enumerate(first.tolist()))
 
 
+def test_medoids_are_central(spark, monkeypatch):
+    x = []
+    for size in [4, 6] * 6:
+        q = np.linalg.qr(rng.standard_normal((512, size + 1)))[0].T
+        x += [0.75 * q[0] + np.sqrt(1 - 0.75**2) * v for v in q[1:]] + [q[0]]  # the last one is the centre
+    ends = np.cumsum([5, 7] * 6) - 1
+    want = dict(enumerate(np.repeat(ends, [5, 7] * 6).tolist()))
+    df = table(spark, np.array(x))
+    assert {r.vec_id: r.medoid for r in C.similarity_clusters(df).collect()} == want
+    monkeypatch.setattr(C, "PIECE", 3)
+    labels = spark.createDataFrame([(i, int(m)) for i, m in want.items()], "id bigint, comp bigint")
+    large = C._settled(labels, packed_vectors(df).withColumnRenamed("vec_id", "id"), 0.4, 512, 25)
+    assert {r.id: r.medoid for r in large.collect()} == want
+
+
 def test_large_buckets_stream_to_their_leaders():
     import pyarrow as pa
 
