@@ -3,9 +3,10 @@
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.plans.ranking import rank_in_group
+
 #: A time stamp counts only with an offset.
 OFFSET = r"^\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:?\d\d)$"
 
@@ -32,8 +33,7 @@ def item_lists(documents: DataFrame, column: str) -> Column:
 
 def capped(assets: DataFrame, cap: int) -> DataFrame:
     """At most ``cap`` assets per person, in order of their ids (the order of pages)."""
-    w = W.partitionBy("person_id").orderBy("asset_id")
-    return assets.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).drop("_n")
+    return rank_in_group(assets, "person_id", [F.col("asset_id").asc()], "_n").filter(F.col("_n") <= cap).drop("_n")
 
 
 def first_faces(assets: DataFrame) -> DataFrame:
@@ -49,10 +49,12 @@ def first_faces(assets: DataFrame) -> DataFrame:
 
 
 def chosen_faces(faces: DataFrame) -> DataFrame:
-    """One face per (asset, person): the smallest face_id. Faces of nobody stand for nobody."""
-    f = faces.filter("person_id IS NOT NULL")
-    w = W.partitionBy("asset_id", "person_id").orderBy("face_id")
-    return f.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """One face per (asset, person): the smallest face_id. Faces of nobody stand for nobody; a NaN confidence is NULL."""
+    key = ["asset_id", "person_id"]
+    rest = [c for c in faces.columns if c not in key]
+    values = [F.when(~F.isnan(c), F.col(c)).alias(c) if c == "confidence" else F.col(c) for c in rest]
+    best = faces.filter("person_id IS NOT NULL").groupBy(*key).agg(F.min_by(F.struct(*values), F.struct(F.col("face_id").isNull().alias("n"), "face_id")).alias("f"))
+    return best.select(*key, *(F.col(f"f.{c}").alias(c) for c in rest))
 
 
 def enriched(asset_person: DataFrame, faces: DataFrame) -> DataFrame:
@@ -106,7 +108,8 @@ def time_spread(rows: DataFrame, group: str, order: list, limit: int) -> DataFra
     """
     if limit <= 0:
         return rows.limit(0)
-    r = rows.withColumns({"_n": F.count("*").over(W.partitionBy(group)), "_at": (F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1).cast("int")})
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    r = rank_in_group(rows, group, order, "_at").withColumn("_at", (F.col("_at") - 1).cast("int")).join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
     n, at = F.col("_n"), F.col("_at")
     if limit == 1:
         return r.filter(at == 0).drop("_n", "_at")

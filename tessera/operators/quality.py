@@ -50,3 +50,15 @@ def reasons(blur: Column, spread: Column, brightness: Column, confidence: Column
         F.when(side < min_side, "small face"),
     ]
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+
+def described(blur: Column, spread: Column, brightness: Column, confidence: Column, side: Column, *, min_blur: float, min_spread: float = 5.0, dark: float = 30.0, bright: float = 225.0, min_confidence: float = 0.7, min_side: int = 50) -> Column:
+    """The reasons of :func:`reasons` with the figures they rest on."""
+    checks = [
+        F.when(blur < min_blur, F.format_string(f"Blurry (laplacian=%.1f, threshold={min_blur})", blur)),
+        F.when(spread < min_spread, F.format_string("Grayscale/IR (channel diff=%.1f)", spread)),
+        F.when(brightness < dark, F.format_string(f"Underexposed (brightness=%.1f, min={dark})", brightness)).when(brightness > bright, F.format_string(f"Overexposed (brightness=%.1f, max={bright})", brightness)),
+        F.when(confidence < min_confidence, F.format_string(f"Low confidence (%.2f, min={min_confidence})", confidence)),
+        F.when(side < min_side, F.format_string(f"Face too small (%dx%d, min={min_side}px)", side.cast("int"), side.cast("int"))),
+    ]
+    return F.filter(F.array(*checks), lambda x: x.isNotNull())

@@ -138,10 +138,17 @@ def _assessed(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("vec_id", why.alias("why"))
 
 
-@R.query(f"{ALL} SELECT vec_id, len({_WHY}) = 0 AS passed, coalesce(nullif(array_to_string({_WHY}, '; '), ''), 'OK') AS reason FROM ms")
+_TOLD = """list_filter([CASE WHEN blur < 2500 THEN printf('Blurry (laplacian=%.1f, threshold=2500)', blur) END, CASE WHEN spread < 5 THEN printf('Grayscale/IR (channel diff=%.1f)', spread) END,
+  CASE WHEN brightness < 120 THEN printf('Underexposed (brightness=%.1f, min=120.0)', brightness) WHEN brightness > 134 THEN printf('Overexposed (brightness=%.1f, max=134.0)', brightness) END,
+  CASE WHEN confidence < 0.7 THEN printf('Low confidence (%.2f, min=0.7)', confidence) END, CASE WHEN side < 50 THEN printf('Face too small (%dx%d, min=50px)', side, side) END], lambda x: x IS NOT NULL)"""
+
+
+@R.query(f"{ALL} SELECT vec_id, len({_WHY}) = 0 AS passed, coalesce(nullif(array_to_string({_TOLD}, '; '), ''), 'OK') AS reason FROM ms")
 def assess_quality(spark: SparkSession, sf: str) -> DataFrame:
-    a = _assessed(spark, sf)
-    return a.select("vec_id", (F.size("why") == 0).alias("passed"), F.when(F.size("why") == 0, "OK").otherwise(F.array_join("why", "; ")).alias("reason"))
+    m = measures(spark, sf)
+    cols, limits = [F.col(c) for c in ("blur", "spread", "brightness", "confidence", "side")], {"min_blur": 2500, "dark": 120.0, "bright": 134.0}
+    a = m.select("vec_id", Q.reasons(*cols, **limits).alias("why"), Q.described(*cols, **limits).alias("told"))
+    return a.select("vec_id", (F.size("why") == 0).alias("passed"), F.when(F.size("why") == 0, "OK").otherwise(F.array_join("told", "; ")).alias("reason"))
 
 
 @R.query(f"{ALL} SELECT reason, count(*) AS n FROM (SELECT unnest({_WHY}) AS reason FROM ms) GROUP BY 1")

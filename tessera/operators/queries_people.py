@@ -71,10 +71,15 @@ def scan_assets_paged(spark: SparkSession, sf: str) -> DataFrame:
     return A.capped(views.asset_person(spark, sf).select("person_id", "asset_id").distinct(), 40)
 
 
-@R.query("SELECT count(*) AS total_raw, count(*) FILTER (WHERE asset_id IS NOT NULL AND len(people) > 0) AS n_valid FROM asset")
+@R.query("""SELECT DISTINCT asset_id, len(list_filter(people, lambda x: x.id IS NOT NULL)) AS n_people, (SELECT count(*) FROM asset) AS total_raw,
+  (SELECT count(*) FROM asset WHERE asset_id IS NULL OR people IS NULL OR len(people) = 0) AS n_dropped FROM asset WHERE asset_id IS NOT NULL AND len(people) > 0""")
 def drop_malformed(spark: SparkSession, sf: str) -> DataFrame:
+    """Photos with an id and people, beside how many rows there were and how many were dropped."""
     a = read_table(spark, sf, "asset")
-    return a.agg(F.count("*").alias("total_raw"), F.count_if(F.col("asset_id").isNotNull() & (F.size("people") > 0)).alias("n_valid"))
+    good = F.col("asset_id").isNotNull() & (F.coalesce(F.size("people"), F.lit(0)) > 0)
+    totals = a.agg(F.count("*").alias("total_raw"), F.count_if(~good).alias("n_dropped"))
+    people = F.size(F.filter("people", lambda x: x["id"].isNotNull())).cast("bigint").alias("n_people")
+    return a.filter(good).select("asset_id", people).distinct().crossJoin(F.broadcast(totals))
 
 
 @R.query("SELECT DISTINCT run_id, unnest(asset_ids) AS item FROM frigate_uploaded_ids")

@@ -10,7 +10,11 @@ from tessera.operators import assets as A
 from tessera.operators import state as S
 from tessera.operators.registry import Registry
 from tessera.params import CurationParams
+from tessera.operators.selection import embed_missing
+from tessera.operators.vectors import norm
 from tessera.plans.curate import curate as run_curation
+from tessera.plans.curate import curate_smart as curate_smart_run
+from tessera.sources.gallery import listed_files
 from tessera.sources import read_table, views
 
 R = Registry()
@@ -45,9 +49,8 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _live_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The gallery as it is: the files of every person's newest five hundred runs stand for a listing."""
-    f = views.tracker_files(spark, sf)
-    return f.filter(F.col("seq") % 3 != 0).select("person", "file_name")
+    """The gallery as it is: all files named by any run stand for its listing, whatever they are mapped to."""
+    return views.runs(spark, sf).select("person", F.explode(F.map_keys("frigate_files")).alias("file_name")).distinct()
 
 
 @R.query(f"WITH {RUNS} SELECT person, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT person, e FROM (SELECT person, unnest(map_keys(frigate_files)) AS e FROM runs)) WHERE person <> 'train' GROUP BY 1")
@@ -56,10 +59,12 @@ def gallery_counts(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("person", "file_name").distinct().groupBy("person").agg(F.count("*").alias("n"))
 
 
-@R.query(f"WITH {RUNS} SELECT DISTINCT person, e AS file_name FROM (SELECT person, unnest(map_keys(map_from_entries(list_filter(map_entries(frigate_files), lambda x: x.key NOT LIKE 'train%')))) AS e FROM runs)")
+@R.query(f"WITH {RUNS} SELECT DISTINCT person, e AS file_name FROM (SELECT person, unnest(map_keys(frigate_files)) AS e FROM runs) WHERE person <> 'train'")
 def scan_gallery_files(spark: SparkSession, sf: str) -> DataFrame:
-    kept = F.map_filter("frigate_files", lambda k, v: ~k.startswith("train"))
-    return views.runs(spark, sf).select("person", F.explode(F.map_keys(kept)).alias("file_name")).distinct()
+    """Listings (a body per run, with the key ``train`` beside the person) read back."""
+    r = views.runs(spark, sf).filter("person IS NOT NULL AND person <> 'train' AND frigate_files IS NOT NULL")
+    body = F.create_map("person", F.map_keys("frigate_files"), F.lit("train"), F.array(F.lit("a.webp")))
+    return listed_files(r.select(F.to_json(body).alias("value"))).distinct()
 
 
 @R.query(f"WITH {RUNS} SELECT DISTINCT e AS file_name FROM (SELECT unnest(map_keys(frigate_files)) AS e FROM runs WHERE person = 'visitors unsorted')")
@@ -107,11 +112,11 @@ def mark_uploaded(spark: SparkSession, sf: str) -> DataFrame:
     return S.fold_marks(log, ["blur_score", "gallery_score"]).select("person", "asset_id", "blur_score", "gallery_score")
 
 
-@R.query(f"WITH {EVENTS} SELECT person, event_id AS asset_id FROM ev WHERE event_type = 'error'")
+@R.query(f"WITH {EVENTS} SELECT person, k AS asset_id, min(event_id) AS first_seq, max(event_id) AS last_seq FROM ev WHERE event_type = 'error' AND k IS NOT NULL GROUP BY 1, 2")
 def mark_rejected(spark: SparkSession, sf: str) -> DataFrame:
-    log = _events(spark, sf).filter("event_type = 'error'").select("person", F.col("event_id").alias("asset_id"), F.col("event_id").alias("seq"))
-    twice = S.fold_marks(log.unionByName(log), [])
-    return twice.select("person", "asset_id")
+    """Refused photos (the number k stands for one, which may be refused again), recorded and replayed."""
+    log = _events(spark, sf).filter("event_type = 'error' AND k IS NOT NULL").select("person", F.col("k").alias("asset_id"), F.col("event_id").alias("seq"))
+    return S.fold_marks(log.unionByName(log), []).select("person", "asset_id", "first_seq", "last_seq")
 
 
 @R.query(f"WITH {RUNS}, {TF} SELECT person, file_name, asset_id FROM tf")
@@ -145,20 +150,24 @@ def reset_person(spark: SparkSession, sf: str) -> DataFrame:
     return S.without_people(views.tracker_assets(spark, sf), RESET).select("person", "asset_id")
 
 
-@R.query("SELECT 0::BIGINT AS n_assets, 0::BIGINT AS n_files")
+@R.query(f"WITH {RUNS}, {TA}, {TF} SELECT person, coalesce(a.n, 0) AS assets_before, coalesce(f.n, 0) AS files_before, 0::BIGINT AS assets_after, 0::BIGINT AS files_after FROM (SELECT person, count(*) AS n FROM ta GROUP BY 1) a FULL JOIN (SELECT person, count(*) AS n FROM tf GROUP BY 1) f USING (person) WHERE person IS NOT NULL")
 def reset_all(spark: SparkSession, sf: str) -> DataFrame:
-    """State emptied of everybody in it."""
+    """What everybody had before and has after a reset of all."""
     a, f = views.tracker_assets(spark, sf), views.tracker_files(spark, sf)
-    left_a, left_f = a.join(a.select("person").distinct(), "person", "left_anti"), f.join(f.select("person").distinct(), "person", "left_anti")
-    return left_a.agg(F.count("*").alias("n_assets")).join(left_f.agg(F.count("*").alias("n_files")))
+    names = a.select("person").union(f.select("person")).filter("person IS NOT NULL").distinct()
+    out = names
+    for df, what in ((a, "assets_before"), (f, "files_before"), (S.emptied(a), "assets_after"), (S.emptied(f), "files_after")):
+        out = out.join(df.groupBy("person").agg(F.count("*").alias(what)), "person", "left")
+    return out.na.fill(0)
 
 
-@R.query("SELECT DISTINCT run_id, len(coalesce(asset_ids, [])) AS n_ids, cardinality(coalesce(scores, MAP {}))::INT AS n_scores, cardinality(coalesce(frigate_files, MAP {}))::INT AS n_files FROM frigate_uploaded_ids")
+@R.query("""SELECT DISTINCT run_id, array_to_string(list_transform(coalesce(asset_ids, []), lambda x: coalesce(x, '-')), '|') AS ids, cardinality(coalesce(scores, MAP {}))::INT AS n_scores, cardinality(coalesce(frigate_scores, MAP {}))::INT AS n_gallery_scores,
+  cardinality(coalesce(frigate_files, MAP {}))::INT AS n_files, cardinality(coalesce(crop_dims, MAP {}))::INT AS n_dims, scores IS NULL AND frigate_scores IS NULL AND frigate_files IS NULL AND crop_dims IS NULL AS legacy FROM frigate_uploaded_ids""")
 def migrate_entry(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of the old form (a list only) filled up to the present one."""
-    t = read_table(spark, sf, "frigate_uploaded_ids")
-    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
-    return t.select("run_id", size("asset_ids").cast("bigint").alias("n_ids"), size("scores").alias("n_scores"), size("frigate_files").alias("n_files")).distinct()
+    m = S.migrated(read_table(spark, sf, "frigate_uploaded_ids"))
+    sizes = [F.size(c).alias(n) for c, n in (("scores", "n_scores"), ("frigate_scores", "n_gallery_scores"), ("frigate_files", "n_files"), ("crop_dims", "n_dims"))]
+    return m.select("run_id", F.array_join("asset_ids", "|", "-").alias("ids"), *sizes, "legacy").distinct()
 
 
 @R.query(f"""WITH {EVENTS} SELECT person, count(*) FILTER (WHERE event_type = 'purchase') AS n_uploaded, count(*) FILTER (WHERE event_type = 'error') AS n_rejected
@@ -190,16 +199,18 @@ def most_redundant_file(spark: SparkSession, sf: str) -> DataFrame:
     return S.extreme_file(S.mapped_scores(views.tracker_files(spark, sf), views.tracker_scores(spark, sf, "frigate_scores")), largest=True)
 
 
-@R.query(f"WITH {RUNS}, {TF} SELECT person, file_name FROM tf WHERE seq % 3 = 0")
+@R.query(f"WITH {RUNS}, {TF}, {TG} SELECT DISTINCT person, file_name FROM tf ANTI JOIN (SELECT tf.person, tf.file_name FROM tf JOIN tg USING (person, asset_id)) l USING (person, file_name)")
 def stale_files(spark: SparkSession, sf: str) -> DataFrame:
-    return S.without_files(views.tracker_files(spark, sf), _live_files(spark, sf)).select("person", "file_name")
+    """Mapped files that a listing (here the files with a gallery score) does not hold."""
+    f = views.tracker_files(spark, sf)
+    live = f.join(views.tracker_scores(spark, sf, "frigate_scores").select("person", "asset_id"), ["person", "asset_id"], "left_semi")
+    return S.without_files(f, live).select("person", "file_name")
 
 
-@R.query(f"WITH {RUNS}, {TF} SELECT person, file_name FROM tf WHERE seq % 3 <> 0 AND seq % 2 = 0")
+@R.query(f"WITH {RUNS}, {TF}, l AS (SELECT DISTINCT person, e AS file_name FROM (SELECT person, unnest(map_keys(frigate_files)) AS e FROM runs)) SELECT person, file_name FROM l ANTI JOIN tf USING (person, file_name)")
 def new_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Files of the gallery that were not there before (those of odd runs were)."""
-    before = views.tracker_files(spark, sf).filter("seq % 2 <> 0")
-    return S.without_files(_live_files(spark, sf), before)
+    """Files of the gallery that are mapped to no photo yet."""
+    return S.without_files(_live_files(spark, sf), views.tracker_files(spark, sf))
 
 
 @R.query(f"""WITH {EVENTS}, u AS (SELECT person, event_id AS asset_id, event_id AS pos FROM ev WHERE event_type = 'purchase'),
@@ -252,12 +263,21 @@ def scan_embedding_cache(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("vec_id", (key == F.col("cache_key")).alias("hit")).distinct()
 
 
-@R.query("SELECT DISTINCT a.asset_id, c.cache_key IS NOT NULL AS cached FROM asset a LEFT JOIN (SELECT DISTINCT cache_key FROM embedding_cache) c ON c.cache_key = sha256(concat(a.asset_id, ':arcnet512-r3'))[1:16]")
+@R.query("""WITH c AS (SELECT cache_key, min(vec_id) AS v FROM embedding_cache WHERE len(embedding) > 0 GROUP BY 1), a AS (SELECT DISTINCT asset_id FROM asset WHERE asset_id IS NOT NULL),
+f AS (SELECT vec_id, any_value(embedding[1]) AS x FROM embedding_cache GROUP BY 1)
+SELECT a.asset_id, c.cache_key IS NOT NULL AS cached, CASE WHEN c.cache_key IS NULL THEN round(ascii(a.asset_id) / 256.0::DOUBLE, 5) WHEN isfinite(f.x) THEN round(f.x::DOUBLE, 5) + 0.0 END AS first
+FROM a LEFT JOIN c ON c.cache_key = sha256(concat(a.asset_id, ':arcnet512-r3'))[1:16] LEFT JOIN f ON f.vec_id = c.v""")
 def embed_cached(spark: SparkSession, sf: str) -> DataFrame:
-    """Which photos the cache can answer for; only the others would be embedded."""
-    keys = read_table(spark, sf, "embedding_cache").select("cache_key").filter("cache_key IS NOT NULL").distinct()
-    a = read_table(spark, sf, "asset").select("asset_id").distinct().withColumn("key", F.substring(F.sha2(F.concat_ws(":", "asset_id", F.lit("arcnet512-r3")), 256), 1, 16))
-    return a.join(keys, F.col("key") == F.col("cache_key"), "left").select("asset_id", F.col("cache_key").isNotNull().alias("cached"))
+    """The first number of every photo's vector: from the cache where it answers, else computed (by a stand-in for a model)."""
+    c = read_table(spark, sf, "embedding_cache").filter("cache_key IS NOT NULL AND size(embedding) > 0")
+    c = c.groupBy("cache_key").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    a = read_table(spark, sf, "asset").filter("asset_id IS NOT NULL").select("asset_id").distinct()
+    a = a.withColumn("cache_key", F.substring(F.sha2(F.concat_ws(":", "asset_id", F.lit("arcnet512-r3")), 256), 1, 16))
+    cache = a.join(c, "cache_key").select("asset_id", "embedding", F.lit(True).alias("cached"))
+    got = embed_missing(a.select("asset_id", F.col("asset_id").alias("payload")), cache, lambda p: [[ord(x[0]) / 256.0] for x in p])
+    first = F.get("embedding", F.lit(0)).cast("double")
+    got = got.join(cache.select("asset_id", "cached"), "asset_id", "left")
+    return got.select("asset_id", F.coalesce("cached", F.lit(False)).alias("cached"), F.when(~F.isnan(first) & (F.abs(first) < float("inf")), F.round(first, 5) + 0.0).alias("first"))
 
 
 @R.query("SELECT p_brand, sha256(string_agg(concat(p_name, ':', p_size, ':', p_partkey), '|' ORDER BY concat(p_name, ':', p_size, ':', p_partkey)))[1:12] AS fingerprint FROM part GROUP BY 1")
@@ -274,8 +294,8 @@ r AS (SELECT person_id, asset_id, max(file_created_at) AS created FROM ap
     AND epoch_us(try_cast(file_created_at AS TIMESTAMPTZ)) > epoch_us(TIMESTAMP '2025-01-01' - INTERVAL 3650 DAY)
     AND person_id IN (SELECT person_id FROM p) AND asset_id NOT IN (SELECT asset_id FROM ta) GROUP BY 1, 2),
 fd AS (SELECT DISTINCT * FROM face_data WHERE NOT (coalesce(x1, 0) = 0 AND coalesce(y1, 0) = 0 AND coalesce(x2, 0) = 0 AND coalesce(y2, 0) = 0)),
-fc AS (SELECT * FROM fd WHERE person_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asset_id, person_id ORDER BY face_id) = 1),
-a AS (SELECT r.*, fc.confidence FROM r LEFT JOIN fc USING (asset_id, person_id) WHERE fc.confidence IS NULL OR isnan(fc.confidence) OR fc.confidence >= 0.7),
+fc AS (SELECT * REPLACE (CASE WHEN NOT isnan(confidence) THEN confidence END AS confidence) FROM fd WHERE person_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asset_id, person_id ORDER BY face_id) = 1),
+a AS (SELECT r.*, fc.confidence FROM r LEFT JOIN fc USING (asset_id, person_id) WHERE fc.confidence IS NULL OR fc.confidence >= 0.7),
 o AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY coalesce(created, ''), asset_id) - 1 AS slot, count(*) OVER (PARTITION BY person_id) AS n FROM a),
 pos AS (SELECT DISTINCT person_id, CASE WHEN i = 9 THEN n - 1 ELSE CAST(floor(CAST(i AS DOUBLE) * (CAST(n - 1 AS DOUBLE) / 9.0::DOUBLE)) AS BIGINT) END AS slot
   FROM (SELECT DISTINCT person_id, n FROM o WHERE n > 10), (SELECT unnest(generate_series(0, 9)) AS i))
@@ -287,3 +307,10 @@ def curate(spark: SparkSession, sf: str) -> DataFrame:
     """The pipeline from people and photos to the ten photos a run would take up of each person."""
     params = CurationParams()
     return run_curation(views.people(spark, sf), views.asset_person(spark, sf), views.faces(spark, sf), views.tracker_assets(spark, sf), params, AS_OF, 10)
+
+
+@R.query()
+def curate_smart(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with vectors: up to ten representatives of each person; the norm of a vector stands for its quality."""
+    v = read_table(spark, sf, "embedding_cache").filter("asset_id IS NOT NULL").select("asset_id", "embedding").withColumn("quality", F.round(norm(F.col("embedding")), 6))
+    return curate_smart_run(views.people(spark, sf), views.asset_person(spark, sf), views.faces(spark, sf), views.tracker_assets(spark, sf), v, CurationParams(), AS_OF, 10)

@@ -7,6 +7,7 @@ from tessera.operators import policy as P
 from tessera.operators import selection as S
 from tessera.operators import vectors as V
 from tessera.operators.registry import Registry
+from tessera.params import CurationParams
 from tessera.sources import read_table, views
 
 R = Registry()
@@ -37,8 +38,13 @@ def zero_norm_gate(spark: SparkSession, sf: str) -> DataFrame:
     return e.filter(finite & (V.norm(F.col("embedding")) >= 1e-6)).select("vec_id").distinct()
 
 
+def _pool(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidate pool of every person, which bounds whatever compares its members."""
+    return S.pooled(views.asset_vec(spark, sf), CurationParams().pool_cap)
+
+
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return V.within_person_pairs(views.asset_vec(spark, sf))
+    return V.within_person_pairs(_pool(spark, sf))
 
 
 @R.query(f"WITH {AV}, {NV}, {PAIRS} SELECT asset_a, asset_b, round(distance, 6) AS distance FROM pr")
@@ -59,12 +65,12 @@ def distance_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query(f"WITH {AV}, {NV}, {PAIRS} SELECT person_id, round(median(distance), 6) AS median_distance FROM pr GROUP BY 1")
 def median_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return V.adaptive_threshold(_pairs(spark, sf)).select("person_id", F.round("median_distance", 6).alias("median_distance"))
+    return S.thresholds(_pool(spark, sf)).select("person_id", F.round("median_distance", 6).alias("median_distance"))
 
 
 @R.query(f"WITH {AV}, {NV}, {PAIRS} SELECT person_id, round(greatest(0.05, 0.2 * median(distance)), 6) AS threshold FROM pr GROUP BY 1")
 def adaptive_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return V.adaptive_threshold(_pairs(spark, sf)).select("person_id", F.round("threshold", 6).alias("threshold"))
+    return S.thresholds(_pool(spark, sf)).select("person_id", F.round("threshold", 6).alias("threshold"))
 
 
 @R.query(f"WITH {AV}, {NV}, {SIZES} SELECT person_id, n, least(greatest(5, 40 // 4), greatest(1, n // 3), n, 40) AS k FROM sz")
@@ -83,12 +89,12 @@ SELECT nv.person_id, nv.asset_id, nv.rank FROM last JOIN nv USING (person_id, ra
 
 @R.query(_DEDUP)
 def dedup_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    return S.dedup_grouped(views.asset_vec(spark, sf), DUP)
+    return S.dedup_grouped(_pool(spark, sf), DUP)
 
 
 @R.query(_DEDUP)
 def dedup_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    return S.dedup_by_rounds(views.asset_vec(spark, sf), DUP)
+    return S.dedup_by_rounds(_pool(spark, sf), DUP)
 
 
 _SEEDS = """seed AS (SELECT person_id, i AS first FROM (SELECT person_id, i, round(sum(d), 9) AS s FROM ds GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY s, i) = 1),
@@ -99,7 +105,7 @@ s AS (SELECT person_id, 1 AS n, [first] AS taken FROM seed UNION ALL
 
 
 def _chosen(spark: SparkSession, sf: str, target: int | None, refine: bool) -> DataFrame:
-    return S.select_representatives(views.asset_vec(spark, sf), target, refine)
+    return S.select_representatives(_pool(spark, sf), target, refine)
 
 
 @R.query(f"WITH RECURSIVE {AV}, {NV}, {PAIRS}, {DIST}, {SIZES}, {_SEEDS.format(t=TARGET)}, l AS (SELECT person_id, unnest(taken) AS rank, unnest(generate_series(1, len(taken))) AS pos FROM s JOIN kk USING (person_id) WHERE s.n = kk.k) SELECT nv.person_id, nv.asset_id, CAST(pos AS INT) AS pos FROM l JOIN nv USING (person_id, rank)")
@@ -123,7 +129,7 @@ SELECT nv.asset_id, mv.asset_id AS medoid FROM (SELECT person_id, i, j FROM ds J
 JOIN nv ON nv.person_id = b.person_id AND nv.rank = b.i JOIN nv mv ON mv.person_id = b.person_id AND mv.rank = b.j""")
 def assign_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector with its nearest seed; ties go to the better rank."""
-    v = views.asset_vec(spark, sf).select("person_id", "asset_id", "rank", V.normalised(F.col("embedding")).alias("v"))
+    v = _pool(spark, sf).select("person_id", "asset_id", "rank", V.normalised(F.col("embedding")).alias("v"))
     m = _chosen(spark, sf, TARGET, False).filter("is_medoid").select("asset_id").join(v, "asset_id").select("person_id", F.col("asset_id").alias("medoid"), F.col("rank").alias("mrank"), F.col("v").alias("mv"))
     j = v.join(m, "person_id").withColumn("d", F.when(F.col("asset_id") == F.col("medoid"), 0.0).otherwise(1 - V.dot(F.col("v"), F.col("mv"))))
     return j.groupBy("asset_id").agg(F.min_by("medoid", F.struct("d", "mrank")).alias("medoid"))
@@ -154,28 +160,37 @@ def recognize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _offered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Views are what a gallery holds, purchases are offered; every fourth has no match score."""
+    """Views are what a gallery holds, purchases are offered. Every fourth has no match score; by the number k some
+    scores are for somebody else, some uploads fail and some files cannot be deleted."""
     e = read_table(spark, sf, "events").select("event_id", F.col("user_id").cast("int").alias("person"), "event_type", F.col("value").alias("blur"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     e = e.withColumns({"file_name": F.concat(F.col("event_id").cast("string"), F.lit(".jpg")), "score": F.when(F.col("event_id") % 4 != 0, F.col("k") / 100.0)})
-    return e.filter("event_type = 'purchase'").select("person", "file_name", "score", "blur"), e.filter("event_type = 'view'").select("person", "file_name", "score", "blur", F.col("event_id").alias("seq"))
+    c = e.filter("event_type = 'purchase'").select("person", "file_name", "score", "blur", F.when(F.col("k") % 7 == 0, "x").otherwise(F.col("person").cast("string")).alias("match"), (F.col("k") % 5 != 0).alias("accepted"))
+    return c, e.filter("event_type = 'view'").select("person", "file_name", "score", "blur", F.col("event_id").alias("seq"), (F.col("k") % 6 == 0).alias("locked"))
 
 
-_ADMIT = """WITH RECURSIVE e AS (SELECT CAST(user_id AS INT) AS person, event_type, concat(event_id, '.jpg') AS file_name, CASE WHEN event_id % 4 <> 0 THEN CAST(props->>'$.k' AS INT) / 100.0::DOUBLE END AS score, value AS blur, event_id AS seq FROM events),
-c AS (SELECT person, file_name, score, blur, CAST(row_number() OVER (PARTITION BY person ORDER BY file_name) AS INT) AS i FROM e WHERE event_type = 'purchase'),
-g AS (SELECT person, list(struct_pack(f := file_name, s := score, b := blur, q := seq)) AS files FROM e WHERE event_type = 'view' GROUP BY 1),
-p AS (SELECT person, coalesce(files, []) AS files, len(coalesce(files, [])) AS cnt FROM (SELECT DISTINCT person FROM c UNION SELECT person FROM g) LEFT JOIN g USING (person)),
-t AS (SELECT person, 0 AS i, files, CAST(cnt AS BIGINT) AS cnt, cnt > 0 AS started, NULL::VARCHAR AS file_name, NULL::VARCHAR AS action, NULL::VARCHAR AS reason, NULL::VARCHAR AS target FROM p
+_ADMIT = """WITH RECURSIVE e AS (SELECT CAST(user_id AS INT) AS person, event_type, concat(event_id, '.jpg') AS file_name, CAST(props->>'$.k' AS INT) AS k, CASE WHEN event_id % 4 <> 0 THEN CAST(props->>'$.k' AS INT) / 100.0::DOUBLE END AS score, value AS blur, event_id AS seq FROM events),
+c AS (SELECT person, file_name, CASE WHEN k % 7 <> 0 THEN score END AS score, blur, k % 5 <> 0 AS accepted, CAST(row_number() OVER (PARTITION BY person ORDER BY file_name) AS INT) AS i FROM e WHERE event_type = 'purchase'),
+g AS (SELECT person, list(struct_pack(f := file_name, s := score, b := blur, q := seq, l := k % 6 = 0)) AS files FROM e WHERE event_type = 'view' GROUP BY 1),
+p AS (SELECT person, coalesce(files, []) AS files FROM (SELECT DISTINCT person FROM c) LEFT JOIN g USING (person)),
+t AS (SELECT person, 0 AS i, files, CAST(len(files) AS BIGINT) AS cnt, len(files) > 0 AS started, len(list_filter(files, lambda x: x.s IS NOT NULL)) > 0 AS fs, NULL::DOUBLE AS floor_, []::VARCHAR[] AS refused,
+   NULL::VARCHAR AS file_name, NULL::VARCHAR AS action, NULL::VARCHAR AS reason, NULL::VARCHAR AS target FROM p
  UNION ALL
- SELECT person, i, CASE WHEN action = 'replace' THEN list_filter(files, lambda x: x.f <> target) ELSE files END, CASE WHEN action = 'add' THEN cnt + 1 ELSE cnt END, started, file_name, action, reason, CASE WHEN action = 'replace' THEN target END
- FROM (SELECT *, CASE WHEN reason IN ('below capacity') THEN 'add' WHEN reason IN ('less redundant', 'sharper') THEN 'replace' ELSE 'skip' END AS action
+ SELECT person, i, CASE WHEN gone THEN list_filter(files, lambda x: x.f <> target) ELSE files END,
+   cnt - CAST(gone AS INT) + CAST(sent AND (accepted OR gone) AS INT), started,
+   (CASE WHEN gone THEN len(list_filter(files, lambda x: x.s IS NOT NULL AND x.f <> target)) > 0 ELSE fs END) OR (sent AND accepted AND sc IS NOT NULL),
+   CASE WHEN sent AND (accepted OR gone) THEN NULL ELSE floor_ END, CASE WHEN reason = 'delete failed' THEN list_append(refused, target) ELSE refused END, file_name,
+   CASE WHEN NOT sent THEN 'skip' WHEN accepted THEN CASE WHEN gone THEN 'replace' ELSE 'add' END WHEN gone THEN 'lost' ELSE 'failed' END, reason, CASE WHEN gone OR reason = 'delete failed' THEN target END
+ FROM (SELECT *, reason IN ('below capacity', 'less redundant', 'sharper') AS sent, reason IN ('less redundant', 'sharper') AS gone
  FROM (SELECT *, CASE
-   WHEN cnt < {cap} THEN CASE WHEN sc > top.s THEN 'not novel' ELSE 'below capacity' END
-   WHEN len(files) = 0 THEN 'no target'
-   WHEN top.s IS NOT NULL THEN CASE WHEN sc IS NULL THEN 'no score' WHEN sc < top.s THEN 'less redundant' ELSE 'not better' END
-   WHEN blur > low.b THEN 'sharper' ELSE 'not better' END AS reason, CASE WHEN top.s IS NOT NULL THEN top.f ELSE low.f END AS target
- FROM (SELECT t.person, c.i, t.files, t.cnt, t.started, c.file_name, c.blur, CASE WHEN t.started AND (t.cnt < {cap} OR len(list_filter(t.files, lambda x: x.s IS NOT NULL)) > 0) THEN c.score END AS sc,
-   list_sort(list_transform(list_filter(t.files, lambda x: x.s IS NOT NULL), lambda x: struct_pack(n := -x.s, q := x.q, f := x.f, s := x.s)))[1] AS top,
-   list_sort(list_transform(t.files, lambda x: struct_pack(b := x.b, q := x.q, f := x.f)))[1] AS low
+   WHEN blur < floor_ THEN 'below the freed slot'
+   WHEN cnt < {cap} THEN CASE WHEN sc > bar THEN 'not novel' ELSE 'below capacity' END
+   WHEN fs THEN CASE WHEN sc IS NULL THEN 'no score' WHEN top.f IS NULL THEN 'no target' WHEN NOT sc < top.s THEN 'not better' WHEN top.l THEN 'delete failed' ELSE 'less redundant' END
+   ELSE CASE WHEN blur IS NULL THEN 'no score' WHEN low.f IS NULL THEN 'no target' WHEN NOT blur > low.b THEN 'not better' WHEN low.l THEN 'delete failed' ELSE 'sharper' END END AS reason,
+   CASE WHEN fs THEN top.f ELSE low.f END AS target
+ FROM (SELECT t.person, c.i, t.files, t.cnt, t.started, t.fs, t.floor_, t.refused, c.file_name, c.blur, c.accepted, CASE WHEN t.started AND (t.cnt < {cap} OR t.fs) THEN c.score END AS sc,
+   list_max(list_transform(t.files, lambda x: x.s)) AS bar,
+   list_sort(list_transform(list_filter(t.files, lambda x: x.s IS NOT NULL AND NOT list_contains(t.refused, x.f)), lambda x: struct_pack(n := -x.s, q := x.q, f := x.f, s := x.s, l := x.l)))[1] AS top,
+   list_sort(list_transform(list_filter(t.files, lambda x: x.b IS NOT NULL AND NOT list_contains(t.refused, x.f)), lambda x: struct_pack(b := x.b, q := x.q, f := x.f, l := x.l)))[1] AS low
    FROM t JOIN c ON c.person = t.person AND c.i = t.i + 1))))
 SELECT person, i AS seq, file_name, action, reason, target AS target_file FROM t WHERE i > 0"""
 

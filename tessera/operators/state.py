@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.plans.ranking import rank_in_group
+
 
 def newest(value: str, seq: str = "seq") -> Column:
     """Aggregate: the last value by ``seq`` that is not NULL."""
@@ -42,6 +44,22 @@ def without_people(state: DataFrame, names: list[str]) -> DataFrame:
     return state.filter(~F.coalesce(F.col("person").isin([n.lower() for n in names]), F.lit(False)))
 
 
+def emptied(state: DataFrame) -> DataFrame:
+    """State of the same shape without anything in it."""
+    return state.limit(0)
+
+
+def migrated(entries: DataFrame) -> DataFrame:
+    """Entries with empty lists and maps in the place of NULL ones, and whether they had the old form (no map at all)."""
+    maps = ["scores", "frigate_scores", "frigate_files", "crop_dims"]
+    old = F.lit(True)
+    for c in maps:
+        old = old & F.col(c).isNull()
+    kinds = dict(entries.dtypes)
+    filled = {c: F.coalesce(c, F.from_json(F.lit("{}"), kinds[c])) for c in maps}
+    return entries.withColumn("legacy", old).withColumns(filled | {"asset_ids": F.coalesce("asset_ids", F.array().cast(kinds["asset_ids"]))})
+
+
 def unseen(assets: DataFrame, seen: DataFrame) -> DataFrame:
     """Assets whose id was recorded for nobody (the exclusion holds across persons); NULL ids are never seen."""
     return assets.join(seen.filter("asset_id IS NOT NULL").select("asset_id").distinct(), "asset_id", "left_anti")
@@ -86,8 +104,12 @@ def positional_map(uploads: DataFrame, new_files: DataFrame) -> DataFrame:
 
     Persons whose counts differ are mapped not at all; uploads without an asset take their place but give no row.
     """
-    u = uploads.withColumns({"i": F.row_number().over(W.partitionBy("person").orderBy("pos")), "n": F.count("*").over(W.partitionBy("person"))})
-    f = new_files.withColumns({"i": F.row_number().over(W.partitionBy("person").orderBy(file_number("file_name"), "file_name")), "n": F.count("*").over(W.partitionBy("person"))})
+    def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+        sizes = df.groupBy(F.col("person").alias("_p")).agg(F.count("*").alias("n"))
+        return rank_in_group(df, "person", order, "i").join(sizes, F.col("person") == F.col("_p")).drop("_p")
+
+    u = numbered(uploads, [F.col("pos").asc()])
+    f = numbered(new_files, [file_number("file_name").asc(), F.col("file_name").asc()])
     return u.join(f, ["person", "i", "n"]).filter("asset_id IS NOT NULL").select("person", "file_name", "asset_id")
 
 

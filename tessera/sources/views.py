@@ -1,10 +1,10 @@
 """The domain's relations over the supplied tables. Repeated rows are collapsed here."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import canonical_uuid
+from tessera.plans.ranking import rank_in_group
 from tessera.sources.tables import read_table
 
 
@@ -62,4 +62,4 @@ def asset_vec(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "events").select("event_id", "ts", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     v = read_table(spark, sf, "embeddings").join(e, F.col("event_id") == F.col("vec_id"))
     v = v.select(F.col("vec_id").alias("asset_id"), F.col("label").alias("person_id"), F.col("value").alias("quality_score"), (F.col("k") / 100.0).alias("confidence"), F.col("ts").alias("created"), "embedding")
-    return v.withColumn("rank", F.row_number().over(W.partitionBy("person_id").orderBy(F.col("quality_score").desc(), "asset_id")))
+    return rank_in_group(v, "person_id", [F.col("quality_score").desc(), F.col("asset_id").asc()]).withColumn("rank", F.col("rank").cast("int"))

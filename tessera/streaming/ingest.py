@@ -25,10 +25,12 @@ def merge_into(store: StateStore):
     """A ``foreachBatch`` function that folds each batch into the store; replaying a batch changes nothing."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        old = store.read(MARKS)
-        log = old.select("person", "asset_id", F.col("last_seq").alias("seq"), "score")
-        log = log.unionByName(old.select("person", "asset_id", F.col("first_seq").alias("seq"), F.lit(None).cast("double").alias("score")))
-        log = log.unionByName(batch.select("person", "asset_id", "seq", "score"))
-        store.write(fold_marks(log, ["score"]).select("person", "asset_id", "score", "first_seq", "last_seq"))
+        def folded(old: DataFrame) -> DataFrame:
+            log = old.select("person", "asset_id", F.col("last_seq").alias("seq"), "score")
+            log = log.unionByName(old.select("person", "asset_id", F.col("first_seq").alias("seq"), F.lit(None).cast("double").alias("score")))
+            log = log.unionByName(batch.select("person", "asset_id", "seq", "score"))
+            return fold_marks(log, ["score"]).select("person", "asset_id", "score", "first_seq", "last_seq")
+
+        store.update(MARKS, folded)
 
     return merge

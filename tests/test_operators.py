@@ -15,7 +15,7 @@ from tessera.operators import selection as S
 from tessera.operators import state as T
 from tessera.params import CurationParams, resolve_strategy
 from tessera.plans.components import connected_components
-from tessera.plans.curate import curate
+from tessera.plans.curate import curate, curate_smart
 from tessera.plans.ranking import rank_in_group
 
 
@@ -129,22 +129,128 @@ def test_selection_invariants(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     d = 1 - u @ u.T
     seeds = S.farthest_first(d, 6)
-    assert d[:, S.refine_medoids(d, seeds)].min(1).sum() <= d[:, seeds].min(1).sum() + 1e-9
+    assert d[:, S.swap_medoids(d, seeds)].min(1).sum() <= d[:, seeds].min(1).sum() + 1e-9
     order = S.spread_out(d, seeds[:1], 15, np.ones(40))
     gaps = [d[p, order[:i]].min() for i, p in enumerate(order) if i]
     assert all(a >= b - 1e-12 for a, b in zip(gaps, gaps[1:]))
 
 
+def test_swaps_follow_the_seeded_draws():
+    rng = np.random.default_rng(7)
+    for n, k in ((5, 2), (30, 5), (60, 7), (4, 4), (1, 1)):
+        x = rng.standard_normal((n, 6))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        d = 1 - x @ x.T
+        start = S.farthest_first(d, k)
+        # the plain way: every drawn swap is tried by computing its whole cost
+        draws, now, going = np.random.default_rng(42), list(start), 50
+        total = lambda m: sum(min(d[i, j] for j in m) for i in range(n))
+        while going:
+            going -= 1
+            rest = [i for i in range(n) if i not in now]
+            found = None
+            for place in range(k if rest else 0):
+                for c in draws.choice(rest, size=min(10, len(rest)), replace=False):
+                    new = now[:place] + [int(c)] + now[place + 1 :]
+                    if found is None and total(new) < total(now) - 1e-12:
+                        found = new
+                if found:
+                    break
+            if not found:
+                break
+            now = found
+        assert S.swap_medoids(d, start) == now
+
+
+def test_threshold_of_a_sample(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((230, 5))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    some = u[np.random.default_rng(42).choice(230, 200, replace=False)]
+    want = np.median([1 - a @ b for i, a in enumerate(some) for b in some[:i]])
+    got = S.thresholds(_vectors(spark, x)).first()
+    assert got.median_distance == pytest.approx(want) and got.threshold == pytest.approx(max(0.05, 0.2 * want))
+    assert S.adaptive_threshold(u[:1]) == (None, 0.05) and S.thresholds(_vectors(spark, x[:1])).count() == 0
+
+
+def test_a_person_with_half_the_rows_changes_nothing(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(p), int(i)) for p, i in zip(np.where(rng.random(3000) < 0.5, 1, rng.integers(2, 60, 3000)), rng.permutation(3000))]
+    df = spark.createDataFrame(rows, "person_id int, asset_id bigint").repartition(7)
+    by = {}
+    for p, i in rows:
+        by.setdefault(p, []).append(i)
+    got = {}
+    for r in A.time_spread(df, "person_id", [F.col("asset_id")], 20).collect():
+        got.setdefault(r.person_id, []).append(r.asset_id)
+    want = {p: sorted(v) if len(v) <= 20 else [sorted(v)[j] for j in sorted(set(np.linspace(0, len(v) - 1, 20, dtype=int)))] for p, v in by.items()}
+    assert {p: sorted(v) for p, v in got.items()} == want
+    assert {(r.person_id, r.asset_id) for r in A.capped(df, 33).collect()} == {(p, i) for p, v in by.items() for i in sorted(v)[:33]}
+
+
+def test_curate_smart(spark):
+    rng = np.random.default_rng(5)
+    when = lambda i: f"2024-01-{i % 28 + 1:02d}T00:00:{i % 60:02d}Z"
+    photos = [(f"a{i:03d}", "ann", when(i)) for i in range(40)] + [(f"b{i}", "bob", when(i)) for i in range(3)] + [(f"c{i:02d}", "cy", when(i)) for i in range(20)] + [(f"d{i:02d}", "di", when(i)) for i in range(12)]
+    x = rng.standard_normal((40, 8))
+    x[20:] = x[:20] + 0.01 * rng.standard_normal((20, 8))  # every look twice, the second time sharper
+    vecs = [(f"a{i:03d}", v.tolist(), 1.0 if i < 20 else 2.0) for i, v in enumerate(x)] + [("a000", [float("nan")] * 8, 9.0), ("b0", [1.0] * 8, 1.0), ("c00", [0.0] * 8, 1.0)]
+    vecs += [(f"d{i:02d}", rng.standard_normal(8).tolist(), 1.0) for i in range(4)]
+    people = spark.createDataFrame([(p, p) for p in ("ann", "bob", "cy", "di")], "person_id string, name string")
+    ap = spark.createDataFrame(photos, "asset_id string, person_id string, file_created_at string")
+    faces = spark.createDataFrame([(1, "a039", "ann", 0, 0, 10, 10, float("nan"))], "face_id bigint, asset_id string, person_id string, x1 int, y1 int, x2 int, y2 int, confidence double")
+    seen = spark.createDataFrame([], "person string, asset_id string, seq bigint")
+    v = spark.createDataFrame(vecs, "asset_id string, embedding array<double>, quality double")
+    run = lambda limit: curate_smart(people, ap, faces, seen, v, CurationParams(), datetime(2025, 1, 1), limit).collect()
+    got = {}
+    for r in run(8):
+        got.setdefault((r.person_id, r.way), set()).add(r.asset_id)
+    assert got["bob", "all"] == {"b0", "b1", "b2"} and len(got["cy", "time"]) == 8
+    assert got["di", "smart"] == {f"d{i:02d}" for i in range(4)}  # fewer vectors than wanted: all of them
+    # the face of a039 is too small; of each look the sharper photo stays
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = [i for i in range(20, 39)] + list(range(20))
+    kept = []
+    for i in order:
+        if all(u[i] @ u[j] <= 0.8 for j in kept):
+            kept.append(i)
+    want = S.representatives(u[kept], np.full(len(kept), np.nan), 8)[0]
+    assert got["ann", "smart"] == {f"a{kept[i]:03d}" for i in want}
+    assert len([r for r in run(None) if r.person_id == "ann"]) <= 5 and run(0) == []
+
+
+def _admitted(spark, cand, held, **kw):
+    c = spark.createDataFrame(cand, "person int, file_name string, score double, blur double, match string, accepted boolean")
+    g = spark.createDataFrame(held, "person int, file_name string, score double, blur double, seq int, locked boolean")
+    return {(r.person, r.file_name): (r.action, r.reason, r.target_file) for r in policy.admit(c, g, capacity=2, **kw).collect()}
+
+
 def test_admission(spark):
-    cand = spark.createDataFrame([(1, "0.jpg", 0.2, 10.0), (1, "1.jpg", 0.9, 10.0), (1, "10.jpg", None, 10.0), (2, "0.jpg", 0.5, 5.0)], "person int, file_name string, score double, blur double")
-    held = spark.createDataFrame([(1, "g1", 0.8, 1.0, 1), (1, "g2", 0.6, 1.0, 2)], "person int, file_name string, score double, blur double, seq int")
-    log = {(r.person, r.file_name): (r.action, r.reason, r.target_file) for r in policy.admit(cand, held, capacity=2).collect()}
-    assert log[1, "0.jpg"] == ("replace", "less redundant", "g1")
-    assert log[1, "1.jpg"] == ("skip", "not better", None) and log[1, "10.jpg"] == ("skip", "no score", None)
+    held = [(1, "g1", 0.8, 1.0, 1, False), (1, "g2", 0.6, 1.0, 2, False)]
+    cand = [(1, "0.jpg", 0.2, 10.0, "1", None), (1, "1.jpg", 0.9, 10.0, None, None), (1, "10.jpg", None, 10.0, None, None), (1, "11.jpg", 0.1, 10.0, "2", None), (2, "0.jpg", 0.5, 5.0, None, None)]
+    log = _admitted(spark, cand, held)
+    assert log[1, "0.jpg"] == ("replace", "less redundant", "g1") and log[1, "1.jpg"] == ("skip", "not better", None)
+    assert log[1, "10.jpg"] == ("skip", "no score", None) and log[1, "11.jpg"] == ("skip", "no score", None)
     assert log[2, "0.jpg"] == ("add", "below capacity", None)
+    assert _admitted(spark, cand[:1], held, replacement=False)[1, "0.jpg"] == ("skip", "replacement off", None)
+    assert _admitted(spark, cand[:1], held, scoring=False)[1, "0.jpg"] == ("replace", "sharper", "g1")
     assert policy.failure_kind(400, "No FACE found") == "permanent" and policy.failure_kind(500, "oops") == "transient"
 
 
+def test_admission_after_an_upload_with_a_score_only_scores_count(spark):
+    held = [(1, "g1", None, 1.0, 1, False)]
+    log = _admitted(spark, [(1, "a", 0.5, 5.0, None, None), (1, "b", 0.1, 9.0, None, None)], held)
+    assert log == {(1, "a"): ("add", "below capacity", None), (1, "b"): ("skip", "no target", None)}
+
+
+def test_admission_with_failures(spark):
+    held = [(1, "g1", None, 1.0, 1, True), (1, "g2", None, 2.0, 2, False)]
+    cand = [(1, "a", None, 5.0, None, True), (1, "b", None, 5.0, None, False), (1, "c", None, 5.0, None, True), (2, "a", None, None, None, False), (2, "b", None, None, None, True)]
+    log = _admitted(spark, cand, held)
+    assert log[1, "a"] == ("skip", "delete failed", "g1") and log[1, "b"] == ("lost", "sharper", "g2") and log[1, "c"] == ("skip", "no target", None)
+    assert log[2, "a"] == ("failed", "below capacity", None) and log[2, "b"] == ("add", "below capacity", None)
+
+
 @pytest.mark.parametrize("args,want", [(("skip",), (0, "skip")), (("auto",), (None, "smart")), (("standard",), (30, "smart")), (("broad", "0"), (100, "smart")), (("what",), (None, "smart")), (("auto", "12"), (12, "smart")), (("auto", "x", False), (30, "time")), (("auto", 7, False), (7, "time"))])
 def test_strategy(args, want):
     assert resolve_strategy(*args) == want
