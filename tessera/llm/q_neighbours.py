@@ -18,7 +18,7 @@ ASKED = "vec_id % 50 = 0"
 def p3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten partners of every asked vector: along the curves among those of its face (cosine of 0.4
     and more); those with fewer than ten such partners against all rows in blocks."""
-    s = similar_vectors(read_table(spark, sf_dir, "embedding_cache"), k=10, min_cosine=0.4, queries=ASKED, rest=True)
+    s = similar_vectors(read_table(spark, sf_dir, "embedding_cache"), k=10, min_cosine=0.4, queries=ASKED, rest=True, margin=2)
     return s.select("vec_id", "other", F.round("cosine", 4).alias("cosine"), "rank")
 
 
