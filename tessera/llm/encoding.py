@@ -2,12 +2,12 @@
 
 Every partition runs its own in-process DuckDB. The distinct words of a batch become token-position rows; a recursive
 query joins neighbouring tokens with the merge table and contracts, word by word, the pair of least rank until no
-word has a pair left; an ordered aggregation gives the ids. A pair of least rank is contracted at all of its places
-at once, from the left and without overlap, which is what contracting the leftmost one again and again comes to:
-a token's own merges rank after the merge that makes it. Words are kept for the batches that follow.
+word has a pair left; an ordered aggregation gives the ids, and another one decodes. A pair of least rank is contracted
+at all of its places at once, from the left and without overlap, which is what contracting the leftmost one again and
+again comes to: a token's own merges rank after the merge that makes it. The recursion is keyed by word and position, so
+it holds the present token of every place only, whatever the number of rounds. Words are kept for the batches that follow.
 """
 
-import heapq
 import json
 from collections.abc import Iterator
 
@@ -17,10 +17,8 @@ from pyspark.sql import DataFrame
 
 #: The pattern that splits a text into words before merging (GPT-2's, as published with the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words of more bytes are merged with a heap: the recursion takes as many rounds as a word has different merges.
-MAX_WORD = 96
-#: Words kept per worker, and rows of words merged by one query.
-KEPT_WORDS, QUERY_WORDS = 300_000, 20_000
+#: Words kept per worker, and bytes of words merged by one query (a longer word has one of its own).
+KEPT_WORDS, QUERY_BYTES = 300_000, 200_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -41,10 +39,10 @@ def byte_letters() -> list[str]:
 
 
 _MERGE = """
-WITH RECURSIVE t(step, w, pos, tok) AS (
-  SELECT 0, w, pos, tok FROM words
-  UNION ALL
-  SELECT step + 1, w, pos, CASE WHEN take THEN merged ELSE tok END
+WITH RECURSIVE t(w, pos, tok) USING KEY (w, pos) AS (
+  SELECT w, pos, tok FROM words
+  UNION
+  SELECT w, pos, CASE WHEN take THEN merged WHEN gone THEN -1 ELSE tok END
   FROM (
     SELECT *, coalesce(lag(take) OVER (PARTITION BY w ORDER BY pos), false) AS gone
     FROM (
@@ -55,13 +53,15 @@ WITH RECURSIVE t(step, w, pos, tok) AS (
           SELECT *, coalesce(rank = min(rank) OVER (PARTITION BY w), false) AS hit, min(rank) OVER (PARTITION BY w) AS best
           FROM (
             SELECT p.*, m.rank, m.merged
-            FROM (SELECT step, w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt,
-                         row_number() OVER (PARTITION BY w ORDER BY pos) AS n FROM t) p
+            FROM (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt,
+                         row_number() OVER (PARTITION BY w ORDER BY pos) AS n
+                  FROM recurring.t WHERE tok >= 0 AND w IN (SELECT w FROM t)) p
             LEFT JOIN merges m ON m.a = p.tok AND m.b = p.nxt))
-        WHERE best IS NOT NULL)))
-  WHERE NOT gone)
-SELECT w, list(tok ORDER BY pos) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM t) WHERE step = last GROUP BY w
+        WHERE best IS NOT NULL))))
+SELECT w, list(tok ORDER BY pos) AS ids FROM t WHERE tok >= 0 GROUP BY w
+"""
+_DECODE = """
+SELECT d, string_agg(piece, '' ORDER BY pos) AS hex FROM tokens JOIN pieces USING (tok) GROUP BY d
 """
 
 
@@ -77,7 +77,6 @@ class Encoder:
         vocab = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         table = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        self.merges = {(a, b): (rank, m) for rank, (a, b, m) in enumerate(table)}
         self.byte_ids = np.array([vocab[c] for c in byte_letters()], np.int32)
         self.words: dict[str, np.ndarray] = {}
         self.split = regex.compile(PATTERN).findall
@@ -86,53 +85,29 @@ class Encoder:
         self.db.register("merge_rows", pa.table({"a": a, "b": b, "merged": m, "rank": pa.array(range(len(table)), pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
 
-    def _merge_long(self, tokens: list[int]) -> np.ndarray:
-        """The same merges for one long word: a heap of pairs over a linked list."""
-        n = len(tokens)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(*self.merges[p], i, p) for i, p in enumerate(zip(tokens, tokens[1:])) if p in self.merges]
-        heap = [(rank, i, p, m) for rank, m, i, p in heap]
-        heapq.heapify(heap)
-        alive = [True] * n
-        while heap:
-            _, i, p, m = heapq.heappop(heap)
-            j = right[i]
-            if not alive[i] or j < 0 or (tokens[i], tokens[j]) != p:
-                continue
-            tokens[i], alive[j], right[i] = m, False, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0 and (q := (tokens[x], tokens[y])) in self.merges:
-                    rank, merged = self.merges[q]
-                    heapq.heappush(heap, (rank, x, q, merged))
-        return np.array([t for t, a in zip(tokens, alive) if a], np.int32)
-
     def learn(self, words: list[str]) -> None:
-        """Merges words that are not known yet."""
-        short = []
-        for w in words:
-            raw = w.encode("utf-8", "surrogatepass")
-            if len(raw) > MAX_WORD:
-                self.words[w] = self._merge_long(self.byte_ids[np.frombuffer(raw, np.uint8)].tolist())
-            else:
-                short.append((w, raw))
-        for at in range(0, len(short), QUERY_WORDS):
-            part = short[at : at + QUERY_WORDS]
-            size = np.array([len(raw) for _, raw in part])
-            start = np.cumsum(size) - size
-            rows = pa.table({
-                "w": pa.array(np.repeat(np.arange(len(part), dtype=np.int32), size)),
-                "pos": pa.array((np.arange(size.sum()) - np.repeat(start, size)).astype(np.int32)),
-                "tok": pa.array(self.byte_ids[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]),
-            })
-            self.db.register("words", rows)
-            got = self.db.sql(_MERGE).to_arrow_table().combine_chunks()
-            ids = got["ids"].combine_chunks() if isinstance(got["ids"], pa.ChunkedArray) else got["ids"]
-            flat, off = ids.values.to_numpy(), ids.offsets.to_numpy()
-            for k, w in enumerate(got["w"].to_pylist()):
-                self.words[part[w][0]] = flat[off[k] : off[k + 1]].copy()
-            self.db.unregister("words")
+        """Merges words that are not known yet, those of like length together."""
+        raw = sorted(((w, w.encode("utf-8", "surrogatepass")) for w in words), key=lambda r: len(r[1]))
+        group = np.cumsum([len(r) for _, r in raw]) // QUERY_BYTES
+        for part in np.split(np.arange(len(raw)), np.flatnonzero(np.diff(group)) + 1):
+            if len(part):
+                self._merge([raw[i] for i in part])
+
+    def _merge(self, part: list[tuple[str, bytes]]) -> None:
+        size = np.array([len(raw) for _, raw in part])
+        start = np.cumsum(size) - size
+        rows = pa.table({
+            "w": pa.array(np.repeat(np.arange(len(part), dtype=np.int32), size)),
+            "pos": pa.array((np.arange(size.sum()) - np.repeat(start, size)).astype(np.int32)),
+            "tok": pa.array(self.byte_ids[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]),
+        })
+        self.db.register("words", rows)
+        got = self.db.sql(_MERGE).to_arrow_table().combine_chunks()
+        ids = got["ids"].combine_chunks() if isinstance(got["ids"], pa.ChunkedArray) else got["ids"]
+        flat, off = ids.values.to_numpy(), ids.offsets.to_numpy()
+        for k, w in enumerate(got["w"].to_pylist()):
+            self.words[part[w][0]] = flat[off[k] : off[k + 1]].copy()
+        self.db.unregister("words")
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of each; NULL and empty texts have none."""
@@ -201,13 +176,26 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None) -> DataF
     path = vocabulary or vocabulary_path()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte = {c: b for b, c in enumerate(byte_letters())}
-        pieces: dict[int, bytes] = {}
+        db = None
         for batch in batches:
-            if not pieces:
+            if db is None:
+                import duckdb
+
+                db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+                byte = {c: b for b, c in enumerate(byte_letters())}
                 with open(path, encoding="utf-8") as f:
-                    pieces = {i: bytes(byte[c] for c in t) for t, i in json.load(f)["model"]["vocab"].items() if all(c in byte for c in t)}
-            texts = [None if ids is None else b"".join(pieces[i] for i in ids).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+                    vocab = [(i, bytes(byte[c] for c in t).hex()) for t, i in json.load(f)["model"]["vocab"].items() if all(c in byte for c in t)]
+                db.register("piece_rows", pa.table({"tok": pa.array([i for i, _ in vocab], pa.int32()), "piece": pa.array([p for _, p in vocab])}))
+                db.execute("CREATE TABLE pieces AS SELECT * FROM piece_rows")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                lists = part.column("ids")
+                tokens = lists.flatten()
+                n = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                db.register("tokens", pa.table({"d": pa.array(np.repeat(np.arange(len(n)), n)), "pos": pa.array(np.arange(len(tokens))), "tok": tokens}))
+                got = dict(db.sql(_DECODE).fetchall())
+                db.unregister("tokens")
+                texts = [None if null else bytes.fromhex(got.get(i, "")).decode("utf-8", "replace") for i, null in enumerate(lists.is_null().to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id bigint, text string")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tessera.llm.encoding import Encoder, MAX_WORD, count_tokens, decode_documents, encode_documents, vocabulary_path
+from tessera.llm.encoding import Encoder, count_tokens, decode_documents, encode_documents, vocabulary_path
 
 tokenizers = pytest.importorskip("tokenizers")
 SCHEMA = "doc_id bigint, text string, ids string, n_tokens int"
@@ -31,13 +31,20 @@ def test_ids_equal_the_library(spark, library):
     assert {r.doc_id: r.n_tokens for r in count_tokens(df, "doc_id").collect()} == {i: len(v) for i, v in want.items()}
 
 
-def test_long_words_by_heap_equal_the_recursion(library):
+def test_words_of_every_length_equal_contracting_the_leftmost_pair_again_and_again():
     rnd = random.Random(7)
     e = Encoder(vocabulary_path())
-    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(2, MAX_WORD))) for _ in range(200)] + ["a" * n for n in range(1, 40)]
+    rank = {(a, b): (r, m) for a, b, m, r in e.db.execute("SELECT a, b, merged, rank FROM merges").fetchall()}
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(2, 150))) for _ in range(100)] + ["a" * n for n in range(1, 40)] + ["ab" * 200 + "abc" * 90]
     e.learn(words)
     for w in words:
-        assert e._merge_long(e.byte_ids[list(w.encode())].tolist()).tolist() == e.words[w].tolist()
+        tokens = e.byte_ids[list(w.encode())].tolist()
+        while True:
+            found = min(((*rank[p], i) for i, p in enumerate(zip(tokens, tokens[1:])) if p in rank), key=lambda x: (x[0], x[2]), default=None)
+            if found is None:
+                break
+            tokens[found[2] : found[2] + 2] = [found[1]]
+        assert tokens == e.words[w].tolist()
 
 
 def test_words_are_forgotten_when_too_many(monkeypatch):
