@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import canonical_uuid
-from tessera.llm.vectors import DIMS, groups_of, pack, unit, unpack, usable_rows
+from tessera.llm.vectors import DIMS, groups_of, pack, unit, unpack, usable_mask
 from tessera.plans.lineage import cut, release
 
-#: Rows chosen per round at most: a quarter of the dimensions, where pivots are still far from each other's span.
-PER_ROUND = 128
+#: Rows chosen per round (pass over the data) at most: half of the dimensions, where pivots are still far from each other's span.
+PER_ROUND = 256
 #: Rows pivoted at once inside a partition.
 CHUNK = 8192
+#: The chosen rows of all requests go to every task: that many at most (2 KB each).
+MAX_CHOSEN = 65_536
 
 
 def eligible_vectors(vectors: DataFrame, faces: DataFrame, dims: int = DIMS) -> DataFrame:
@@ -35,10 +37,9 @@ def eligible_vectors(vectors: DataFrame, faces: DataFrame, dims: int = DIMS) ->
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x = usable_rows(batch, dims)
-            at = {v: i for i, v in enumerate(batch.column("vec_id").to_pylist())}
-            asset = batch.column("asset").take(pa.array([at[v] for v in ids.tolist()], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), asset, pa.array(pack(x), pa.binary())], ["vec_id", "asset", "vec"])
+            ok, x = usable_mask(batch, dims)
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").filter(keep), batch.column("asset").filter(keep), pa.array(pack(x[ok]), pa.binary())], ["vec_id", "asset", "vec"])
 
     packed = source.mapInArrow(rows, "vec_id bigint, asset string, vec binary")
     return packed.join(best, "asset", "left").select("vec_id", "vec", "conf")
@@ -99,10 +100,13 @@ def varied_subsets(vectors: DataFrame, faces: DataFrame, requests: DataFrame, di
     confidence it is admitted only where nothing is demanded (NULL or at most 0). A request gets ``subset_size``
     vectors, or all admitted ones if they are fewer; NULL and negative sizes get none. Vectors of equal content are
     chosen only when nothing else is left. Repeated rows count once. Empty tables give no rows; other columns are
-    ignored. What reaches the driver are the requests and the chosen rows, both bounded by what was asked for.
+    ignored. What reaches the driver and every task are the requests and the chosen rows, ``MAX_CHOSEN`` at most: more are
+    refused with an error. An asset's confidences all count for each of its vectors.
     """
     spark = vectors.sparkSession
     wanted = {r.request_id: (r.subset_size or 0, r.min_confidence or 0.0) for r in requests.select("request_id", "subset_size", "min_confidence").filter("request_id IS NOT NULL AND subset_size > 0").distinct().collect()}
+    if sum(size for size, _ in wanted.values()) > MAX_CHOSEN:
+        raise ValueError(f"requests for more than {MAX_CHOSEN} vectors have to be split")
     data = cut(eligible_vectors(vectors, faces, dims))
     nodes = data.rdd.getNumPartitions()
     chosen = {r: (np.empty(0, np.int64), np.empty((0, dims), np.float32)) for r in wanted}

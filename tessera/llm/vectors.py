@@ -16,13 +16,18 @@ def candidates_of(df: DataFrame, dims: int = DIMS) -> DataFrame:
     return df.select("vec_id", "embedding").filter((F.size("embedding") == dims) & F.col("vec_id").isNotNull())
 
 
-def usable_rows(batch: pa.RecordBatch, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and float32 rows of a batch that are finite (NULL entries are not) and not shorter than ``MIN_NORM``."""
+def usable_mask(batch: pa.RecordBatch, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a batch are finite (NULL entries are not) and not shorter than ``MIN_NORM``, and all rows as float32."""
     col = batch.column("embedding")
     x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(col), dims)
     with np.errstate(over="ignore", invalid="ignore"):
         norm = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
-    ok = np.isfinite(x).all(1) & (norm >= MIN_NORM)
+    return np.isfinite(x).all(1) & (norm >= MIN_NORM), x
+
+
+def usable_rows(batch: pa.RecordBatch, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and rows of the usable ones, see :func:`usable_mask`."""
+    ok, x = usable_mask(batch, dims)
     return batch.column("vec_id").to_numpy(zero_copy_only=False)[ok], x[ok]
 
 
