@@ -10,6 +10,15 @@ from tessera.plans.lineage import cut
 HASH_BITS, LEVEL_BITS = 60, 15
 
 
+#: Sources up to which a table of sources is sent to every task; beyond it is joined by the planner's choice.
+MAX_SOURCES = 100_000
+
+
+def _sent(sources: DataFrame) -> DataFrame:
+    """A table with a row per source, marked for broadcast if it is small."""
+    return F.broadcast(sources) if sources.count() <= MAX_SOURCES else sources
+
+
 def mixture_plan(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
     """Budget of every source: source, target_share, max_repeats, available, budget, passes, rest.
 
@@ -48,11 +57,11 @@ def thresholds(hashed: DataFrame, plan: DataFrame) -> DataFrame:
     Level by level the tokens are summed by source and the next bits of the hash; the first bucket that does not fit
     is the only one looked into at the next level. The document at the boundary is taken if that comes nearer.
     """
-    state = plan.select("source", "rest", F.lit(0).cast("bigint").alias("prefix"))
+    state = plan.select("source", "rest", F.lit(0).cast("bigint").alias("prefix"))  # ``plan`` is written already
     closed = None
     for level in range(HASH_BITS // LEVEL_BITS):
         shift = HASH_BITS - (level + 1) * LEVEL_BITS
-        inside = hashed.join(F.broadcast(state), "source").filter(F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix"))
+        inside = hashed.join(_sent(state), "source").filter(F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix"))
         hist = inside.groupBy("source", "rest", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
         upto = F.sum("n").over(W.partitionBy("source").orderBy("bucket"))
         over = hist.withColumn("upto", upto).filter(F.col("upto") > F.col("rest"))
@@ -76,8 +85,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     hashed = hashed.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 64 - HASH_BITS))
     plan = cut(mixture_plan(hashed, targets, total_tokens))
     below = thresholds(hashed, plan)
-    per = plan.join(below, "source", "left").select("source", "passes", F.coalesce("below", F.lit(0)).alias("below"))
-    docs = hashed.join(F.broadcast(per), "source").withColumn("n_copies", F.col("passes") + (F.col("h") < F.col("below")).cast("int"))
+    per = cut(plan.join(below, "source", "left").select("source", "passes", F.coalesce("below", F.lit(0)).alias("below")))
+    docs = hashed.join(_sent(per), "source").withColumn("n_copies", F.col("passes") + (F.col("h") < F.col("below")).cast("int"))
     docs = docs.filter("n_copies > 0")
     mixed = docs.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("mixed_tokens"), F.count("*").alias("n_documents"))
     shares = plan.join(mixed, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
