@@ -24,7 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps, which it does after a collection of garbage."""
+    """Let Spark's cleaner drop shuffle files of finished steps, which it does after a collection of garbage.
+
+    With ``spark.tessera.release`` set to false nothing is done: on a driver with a large heap each collection is a
+    pause, and Spark's own periodic one may do.
+    """
+    if spark.conf.get("spark.tessera.release", "true").lower() == "false":
+        return
     import gc
 
     gc.collect()
