@@ -108,8 +108,7 @@ def time_spread(rows: DataFrame, group: str, order: list, limit: int) -> DataFra
     """
     if limit <= 0:
         return rows.limit(0)
-    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
-    r = rank_in_group(rows, group, order, "_at").withColumn("_at", (F.col("_at") - 1).cast("int")).join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    r = rank_in_group(rows, group, order, "_at", "_n").withColumn("_at", (F.col("_at") - 1).cast("int"))
     n, at = F.col("_n"), F.col("_at")
     if limit == 1:
         return r.filter(at == 0).drop("_n", "_at")

@@ -104,12 +104,8 @@ def positional_map(uploads: DataFrame, new_files: DataFrame) -> DataFrame:
 
     Persons whose counts differ are mapped not at all; uploads without an asset take their place but give no row.
     """
-    def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
-        sizes = df.groupBy(F.col("person").alias("_p")).agg(F.count("*").alias("n"))
-        return rank_in_group(df, "person", order, "i").join(sizes, F.col("person") == F.col("_p")).drop("_p")
-
-    u = numbered(uploads, [F.col("pos").asc()])
-    f = numbered(new_files, [file_number("file_name").asc(), F.col("file_name").asc()])
+    u = rank_in_group(uploads, "person", [F.col("pos").asc()], "i", "n")
+    f = rank_in_group(new_files, "person", [file_number("file_name").asc(), F.col("file_name").asc()], "i", "n")
     return u.join(f, ["person", "i", "n"]).filter("asset_id IS NOT NULL").select("person", "file_name", "asset_id")
 
 

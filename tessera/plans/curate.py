@@ -12,6 +12,7 @@ from tessera.operators.people import valid_people
 from tessera.operators.state import unseen
 from tessera.operators.vectors import norm
 from tessera.params import CurationParams
+from tessera.plans.lineage import cut
 
 
 
@@ -43,13 +44,13 @@ def curate(people: DataFrame, asset_person: DataFrame, faces: DataFrame, seen: D
     return A.time_spread(a, "person_id", _in_time(), limit).select("person_id", "asset_id", "confidence")
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """The rows whose embedding has entries, all finite, and a length of at least 1e-6."""
+def usable(vectors: DataFrame, dims: int) -> DataFrame:
+    """The rows whose embedding has ``dims`` entries, all finite, and a length of at least 1e-6."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.filter((F.size("embedding") > 0) & finite).filter(norm(F.col("embedding")) >= 1e-6)
+    return vectors.filter((F.size("embedding") == dims) & finite).filter(norm(F.col("embedding")) >= 1e-6)
 
 
-def curate_smart(people: DataFrame, asset_person: DataFrame, faces: DataFrame, seen: DataFrame, vectors: DataFrame, params: CurationParams, as_of: datetime, limit: int | None) -> DataFrame:
+def curate_smart(people: DataFrame, asset_person: DataFrame, faces: DataFrame, seen: DataFrame, vectors: DataFrame, params: CurationParams, as_of: datetime, limit: int | None, dims: int = 512) -> DataFrame:
     """person_id, asset_id, way of what a run with an embedder takes up of each person.
 
     Persons with no more candidates than ``limit`` keep all (``all``). Of the others a pool evenly spread over time goes
@@ -61,14 +62,15 @@ def curate_smart(people: DataFrame, asset_person: DataFrame, faces: DataFrame, s
     a = candidates(people, asset_person, faces, seen, params, as_of)
     if limit is not None and limit <= 0:
         return a.select("person_id", "asset_id", F.lit("all").alias("way")).limit(0)
+    a = cut(a)  # read several times
     sizes = a.groupBy("person_id").agg(F.count("*").alias("n"))
     few = sizes.filter(F.col("n") <= (0 if limit is None else limit)).select("person_id")
     whole = a.join(few, "person_id", "left_semi").select("person_id", "asset_id", F.lit("all").alias("way"))
     many = a.join(few, "person_id", "left_anti")
     pool = A.time_spread(many, "person_id", _in_time(), params.pool_cap)
     pool = pool.filter(F.col("side").isNull() | (F.col("side") >= params.min_face_px))
-    best = usable(vectors).groupBy("asset_id").agg(F.max_by(F.struct("embedding", "quality"), F.struct("quality", F.hash("embedding"))).alias("v"))
-    pool = pool.join(best, "asset_id").select("person_id", "asset_id", "confidence", "v.embedding", "v.quality")
+    best = usable(vectors, dims).groupBy("asset_id").agg(F.max_by(F.struct("embedding", "quality"), F.struct("quality", F.hash("embedding"))).alias("v"))
+    pool = cut(pool.join(best, "asset_id").select("person_id", "asset_id", "confidence", "v.embedding", "v.quality"))
     smart = S.curated(pool, limit, params.duplicate_distance, params.max_auto).select("person_id", "asset_id", F.lit("smart").alias("way"))
     without = many.join(pool.select("person_id").distinct(), "person_id", "left_anti")
     spread = A.time_spread(without, "person_id", _in_time(), 30 if limit is None else limit).select("person_id", "asset_id", F.lit("time").alias("way"))

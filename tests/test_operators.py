@@ -194,14 +194,14 @@ def test_curate_smart(spark):
     photos = [(f"a{i:03d}", "ann", when(i)) for i in range(40)] + [(f"b{i}", "bob", when(i)) for i in range(3)] + [(f"c{i:02d}", "cy", when(i)) for i in range(20)] + [(f"d{i:02d}", "di", when(i)) for i in range(12)]
     x = rng.standard_normal((40, 8))
     x[20:] = x[:20] + 0.01 * rng.standard_normal((20, 8))  # every look twice, the second time sharper
-    vecs = [(f"a{i:03d}", v.tolist(), 1.0 if i < 20 else 2.0) for i, v in enumerate(x)] + [("a000", [float("nan")] * 8, 9.0), ("b0", [1.0] * 8, 1.0), ("c00", [0.0] * 8, 1.0)]
+    vecs = [(f"a{i:03d}", v.tolist(), 1.0 if i < 20 else 2.0) for i, v in enumerate(x)] + [("a000", [float("nan")] * 8, 9.0), ("b0", [1.0] * 8, 1.0), ("c00", [0.0] * 8, 1.0), ("c01", [1.0] * 9, 1.0), ("c02", None, 1.0)]
     vecs += [(f"d{i:02d}", rng.standard_normal(8).tolist(), 1.0) for i in range(4)]
     people = spark.createDataFrame([(p, p) for p in ("ann", "bob", "cy", "di")], "person_id string, name string")
     ap = spark.createDataFrame(photos, "asset_id string, person_id string, file_created_at string")
     faces = spark.createDataFrame([(1, "a039", "ann", 0, 0, 10, 10, float("nan"))], "face_id bigint, asset_id string, person_id string, x1 int, y1 int, x2 int, y2 int, confidence double")
     seen = spark.createDataFrame([], "person string, asset_id string, seq bigint")
     v = spark.createDataFrame(vecs, "asset_id string, embedding array<double>, quality double")
-    run = lambda limit: curate_smart(people, ap, faces, seen, v, CurationParams(), datetime(2025, 1, 1), limit).collect()
+    run = lambda limit: curate_smart(people, ap, faces, seen, v, CurationParams(), datetime(2025, 1, 1), limit, dims=8).collect()
     got = {}
     for r in run(8):
         got.setdefault((r.person_id, r.way), set()).add(r.asset_id)
