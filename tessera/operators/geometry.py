@@ -36,8 +36,23 @@ def crop_outcome(df: DataFrame, min_face: int, min_crop: int = 30) -> Column:
     return F.when(no_box, "no face").when(side() < min_face, "face too small").when(small_crop, "crop too small").otherwise("crop")
 
 
-def nearest(df: DataFrame, group: str, x: Column, y: Column) -> DataFrame:
-    """Per group the face whose centre is nearest (squared distance) to (x, y); ties to the smallest face_id."""
-    dx, dy = (F.col("x1") + F.col("x2")) / 2 - x, (F.col("y1") + F.col("y2")) / 2 - y
-    d = df.withColumn("_d", dx * dx + dy * dy).filter("_d IS NOT NULL")
-    return d.groupBy(group).agg(F.min_by("face_id", F.struct("_d", "face_id")).alias("face_id"))
+def in_crop(chosen: DataFrame, detected: DataFrame, margin: float, width: int, height: int, squared: bool) -> DataFrame:
+    """asset_id, person_id, face_id of ``chosen`` and ``found``: which detected face of the asset the crop around it shows.
+
+    Both have asset_id, face_id and boxes in pixels of an image of ``width`` x ``height``. The crop is the chosen box widened
+    by ``margin`` of its sides, inside the image. Of the detected faces with an extent whose centre lies in it the one
+    nearest to its centre is found, by squared distance or by the sum of both axes; ties go to the smallest face_id. Without
+    any (or with a NULL coordinate) ``found`` is NULL. A NULL asset_id finds nothing.
+    """
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    c = chosen.select(
+        "asset_id", "person_id", "face_id",
+        F.greatest(F.lit(0.0), F.col("x1") - w * margin).alias("left"), F.least(F.lit(float(width)), F.col("x2") + w * margin).alias("right"),
+        F.greatest(F.lit(0.0), F.col("y1") - h * margin).alias("top"), F.least(F.lit(float(height)), F.col("y2") + h * margin).alias("bottom"),
+    )
+    d = detected.filter("x2 > x1 AND y2 > y1").select("asset_id", F.col("face_id").alias("other"), ((F.col("x1") + F.col("x2")) / 2).alias("u"), ((F.col("y1") + F.col("y2")) / 2).alias("v"))
+    dx, dy = F.col("u") - (F.col("left") + F.col("right")) / 2, F.col("v") - (F.col("top") + F.col("bottom")) / 2
+    far = F.round(dx * dx + dy * dy if squared else F.abs(dx) + F.abs(dy), 6)
+    hits = c.join(d, "asset_id").filter("u BETWEEN left AND right AND v BETWEEN top AND bottom")
+    best = hits.groupBy("asset_id", "person_id", "face_id").agg(F.min_by("other", F.struct(far.alias("d"), "other")).alias("found"))
+    return chosen.select("asset_id", "person_id", "face_id").join(best, ["asset_id", "person_id", "face_id"], "left")

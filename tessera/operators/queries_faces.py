@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import geometry as G
 from tessera.operators import quality as Q
+from tessera.operators.assets import chosen_faces, has_box
 from tessera.operators.registry import Registry
 from tessera.sources import read_table, views
 
@@ -54,11 +55,32 @@ def process_face(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("face_id", G.crop_outcome(c, 50).alias("outcome"))
 
 
-@R.query(f"""WITH {FACES}, d AS (SELECT asset_id, face_id, power((x1 + x2) / 2.0::DOUBLE - 960, 2) + power((y1 + y2) / 2.0::DOUBLE - 540, 2) AS d FROM fd WHERE asset_id IS NOT NULL)
-SELECT asset_id, face_id FROM d WHERE d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY d, face_id) = 1""")
+_IN_CROP = """sb AS (SELECT fd.asset_id, fd.person_id, sc.* EXCLUDE (asset_id, confidence) FROM sc JOIN fd USING (face_id)),
+c AS (SELECT asset_id, person_id, face_id, greatest(0.0, x1 - (x2 - x1) * {m}::DOUBLE) AS l, least({w}.0, x2 + (x2 - x1) * {m}::DOUBLE) AS r, greatest(0.0, y1 - (y2 - y1) * {m}::DOUBLE) AS t, least({h}.0, y2 + (y2 - y1) * {m}::DOUBLE) AS b
+  FROM sb JOIN (SELECT asset_id, person_id, min(face_id) AS face_id FROM fd WHERE asset_id IS NOT NULL AND person_id IS NOT NULL
+    AND NOT (coalesce(x1, 0) = 0 AND coalesce(y1, 0) = 0 AND coalesce(x2, 0) = 0 AND coalesce(y2, 0) = 0) GROUP BY 1, 2) USING (asset_id, person_id, face_id)),
+d AS (SELECT asset_id, face_id AS other, (x1 + x2) / 2 AS u, (y1 + y2) / 2 AS v FROM sb WHERE x2 > x1 AND y2 > y1),
+hit AS (SELECT c.*, d.other, u - (l + r) / 2 AS dx, v - (t + b) / 2 AS dy FROM c JOIN d USING (asset_id) WHERE u BETWEEN l AND r AND v BETWEEN t AND b),
+best AS (SELECT asset_id, person_id, face_id, other AS found FROM hit QUALIFY row_number() OVER (PARTITION BY asset_id, person_id, face_id ORDER BY round({d}, 6), other) = 1)
+SELECT c.asset_id, c.person_id, c.face_id, best.found FROM c LEFT JOIN best USING (asset_id, person_id, face_id)"""
+
+
+def _in_crop(spark: SparkSession, sf: str, margin: float, squared: bool) -> DataFrame:
+    f = views.faces(spark, sf)
+    chosen = chosen_faces(f.filter(has_box() & F.col("asset_id").isNotNull()))
+    return G.in_crop(G.scaled(chosen, WIDTH, HEIGHT), G.scaled(f, WIDTH, HEIGHT), margin, WIDTH, HEIGHT, squared)
+
+
+@R.query(f"WITH {FACES}, {SCALED}, " + _IN_CROP.format(m=0.25, w=WIDTH, h=HEIGHT, d="dx * dx + dy * dy"))
 def embed_face(spark: SparkSession, sf: str) -> DataFrame:
-    """The face to embed of each photo: the one nearest the middle of the crop."""
-    return G.nearest(views.faces(spark, sf).filter("asset_id IS NOT NULL"), "asset_id", F.lit(960.0), F.lit(540.0))
+    """The face to embed of each person in a photo: of the faces in the crop the one nearest to its centre."""
+    return _in_crop(spark, sf, 0.25, True)
+
+
+@R.query(f"WITH {FACES}, {SCALED}, " + _IN_CROP.format(m=0.5, w=WIDTH, h=HEIGHT, d="abs(dx) + abs(dy)"))
+def redetect_face(spark: SparkSession, sf: str) -> DataFrame:
+    """The face to align of each person in a photo, searched for in a wider crop."""
+    return _in_crop(spark, sf, 0.5, False)
 
 
 @R.query(f"WITH {FACES} SELECT face_id, round(CASE WHEN confidence < 0.85::DOUBLE THEN 1.0::DOUBLE + (0.85::DOUBLE - confidence) * 2 ELSE 1.0::DOUBLE END, 6) AS weight FROM fd WHERE confidence IS NULL OR NOT isnan(confidence)")

@@ -87,6 +87,17 @@ def test_geometry(spark):
     assert rows[1].x2 == 0.0 and rows[2].x1 == 0.0
 
 
+def test_face_found_in_a_crop(spark):
+    kind = "asset_id string, person_id string, face_id int, x1 double, y1 double, x2 double, y2 double"
+    chosen = spark.createDataFrame([("a", "p", 1, 10.0, 10.0, 30.0, 30.0), ("b", "p", 2, 0.0, 0.0, 20.0, 20.0), ("c", "p", 3, None, 0.0, 9.0, 9.0), (None, "p", 4, 1.0, 1.0, 9.0, 9.0)], kind)
+    boxes = [("a", 5, 12, 12, 30, 30), ("a", 6, 11, 13, 30, 30), ("a", 7, 60, 60, 90, 90), ("a", 8, 20, 20, 20, 20), ("b", 9, 8, 8, 20, 20), ("b", 10, 0, 0, 18, 22), (None, 11, 1, 1, 9, 9)]
+    found = spark.createDataFrame([(a, f, *map(float, b)) for a, f, *b in boxes], "asset_id string, face_id int, x1 double, y1 double, x2 double, y2 double")
+    got = {r.face_id: r.found for r in G.in_crop(chosen, found, 0.5, 100, 100, False).collect()}
+    # 5 and 6 are two off in all: the smaller id; in the clipped crop of b the centre is (15, 15)
+    assert got == {1: 5, 2: 9, 3: None, 4: None}
+    assert {r.face_id: r.found for r in G.in_crop(chosen, found, 0.0, 100, 100, True).collect()}[2] == 10
+
+
 def test_laplacian_and_reasons(spark):
     rng = np.random.default_rng(0)
     img = rng.integers(0, 256, (8, 8)).astype(float)
