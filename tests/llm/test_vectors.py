@@ -179,6 +179,30 @@ def test_large_buckets_stream_to_their_leaders():
     assert len({parent[i] for i in range(500)}) == 3
 
 
+def test_candidates_do_not_depend_on_the_size_of_the_table(spark):
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    items, mark = r.integers(0, 128, (40, C.TOKENS)).astype(np.uint8), r.integers(0, 256, (40, C.MARK // 8)).astype(np.uint8)
+    items[1::2, :240] = items[::2, :240]  # pairs share buckets for certain, their marks differ in 98 to 117 bits
+    for i in range(0, 40, 2):
+        flip = np.zeros(C.MARK, np.uint8)
+        flip[r.permutation(C.MARK)[: 98 + i // 2]] = 1
+        mark[i + 1] = mark[i] ^ np.packbits(flip)
+    few = spark.createDataFrame([(i, bytearray(x), bytearray(m)) for i, (x, m) in enumerate(zip(items, mark))], "id bigint, items binary, mark binary")
+
+    def others(batches):
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            g = np.random.default_rng(int(ids[0]))
+            cols = ([z.tobytes() for z in g.integers(0, 256, (len(ids), n), np.uint8) & np.uint8(top)] for n, top in ((C.TOKENS, 127), (C.MARK // 8, 255)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(c, pa.binary()) for c in cols)], ["id", "items", "mark"])
+
+    many = few.union(spark.range(100, 150_100).mapInArrow(others, few.schema))
+    got = [{(p.a, p.b) for p in C.band_candidates(df, 8).filter("a < 40 AND b < 40").collect()} for df in (few, many)]
+    assert got[0] == got[1] and {(i + 1, i) for i in range(0, 14, 2)} <= got[0]
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame(unusable(), SCHEMA)
     f = spark.createDataFrame([], "asset_id string, confidence double")
