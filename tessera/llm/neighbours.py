@@ -5,9 +5,8 @@
 2. The rows of all orderings are range-partitioned by (ordering, key) and sorted. Within a partition the sketches of
    neighbouring key windows are compared; of those above a floor that leaves room for the sketch's error every row keeps
    the nearest as candidates.
-3. The candidates of all orderings merge into components. Up to ``TILE`` vectors are brought together once and compared
-   with each other, which also finds pairs that no window held. In larger components the candidates themselves are
-   reranked by the full vectors, so the work stays proportional to the rows; stated query sets meet them tile by tile.
+3. The candidates of all orderings merge into components, whose vectors are compared with each other exactly, which
+   also finds pairs that no window held. Components of more than ``TILE`` vectors are compared tile by tile.
 """
 
 from collections.abc import Iterator
@@ -126,13 +125,20 @@ def window_pairs(ordered: DataFrame, floor: float, keep: int) -> DataFrame:
 
 
 def _top_pairs(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, y: np.ndarray, floor: float, k: int) -> pa.RecordBatch:
-    """For every row of x its k best rows of y (other ids) with at least ``floor``, smaller ids first among ties."""
+    """For every row of x its k best rows of y (other ids) with at least ``floor``, smaller ids first among ties.
+
+    Cosines are those of the two rows alone, the same in a block of any shape.
+    """
     out: list[tuple] = []
     for at in range(0, len(ids), 512):
         sims = x[at : at + 512] @ y.T
         sims[ids[at : at + 512, None] == other_ids[None, :]] = -2
-        i, j = np.nonzero(sims >= floor)
-        v = sims[i, j]
+        least = np.full(len(sims), floor)
+        if sims.shape[1] > k:
+            least = np.maximum(least, -np.partition(-sims, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero(sims >= least[:, None] - 1e-5)
+        v = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", x[at + i[p : p + 16384]], y[j[p : p + 16384]], dtype=np.float64) for p in range(0, len(i), 16384))])
+        i, j, v = (z[v >= floor] for z in (i, j, v))
         order = np.lexsort((other_ids[j], -v, i))
         i, j, v = i[order], j[order], v[order]
         first = np.searchsorted(i, i)
@@ -175,21 +181,6 @@ def exact_in_components(packed: DataFrame, comps: DataFrame, floor: float, k: in
     return full.mapInArrow(rows, "vec_id bigint, other bigint, cosine double")
 
 
-def exact_pairs(packed: DataFrame, pairs: DataFrame, floor: float, dims: int = DIMS) -> DataFrame:
-    """The candidate pairs (a, b) with a cosine of at least ``floor``, in both directions: vec_id, other, cosine."""
-    v = packed.dropDuplicates(["vec_id"])
-    j = pairs.join(v.select(F.col("vec_id").alias("a"), F.col("vec").alias("va")), "a").join(v.select(F.col("vec_id").alias("b"), F.col("vec").alias("vb")), "b")
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cos = np.einsum("ij,ij->i", unit(unpack(batch.column("va"), dims)), unit(unpack(batch.column("vb"), dims))).astype(np.float64)
-            a, b, ok = batch.column("a").to_numpy(), batch.column("b").to_numpy(), cos >= floor
-            for one, two in ((a, b), (b, a)):
-                yield pa.RecordBatch.from_arrays([pa.array(one[ok]), pa.array(two[ok]), pa.array(cos[ok])], ["vec_id", "other", "cosine"])
-
-    return j.select("a", "b", "va", "vb").mapInArrow(rows, "vec_id bigint, other bigint, cosine double")
-
-
 def against_all(packed: DataFrame, asking: DataFrame, k: int, dims: int = DIMS) -> DataFrame:
     """The k best partners of every asking vector (``vec_id``) among all vectors: vec_id, other, cosine.
 
@@ -230,8 +221,8 @@ def similar_vectors(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, di
     Columns vec_id, other, cosine, rank; ties by the smaller ``other``. ``queries`` is a condition on vec_id, all
     vectors by default; they are compared with all vectors. With ``rest`` the queries that have fewer than k partners
     above ``min_cosine`` are compared with all vectors in blocks, exactly: below the floor lie unrelated vectors, whose
-    order no index knows. That is for stated query sets only. ``margin`` candidates beyond k are kept of every window; it
-    bounds the work in components of more than ``TILE`` vectors, whose pairs are not all compared. Unusable vectors (NULL, other length, NULL or non-finite entries, no norm) and NULL ids
+    order no index knows. That is for stated query sets only. ``margin`` candidates beyond k are kept of every window to
+    join the components, inside which all pairs are compared whatever their size. Unusable vectors (NULL, other length, NULL or non-finite entries, no norm) and NULL ids
     take no part. Repeated rows change nothing; vectors of equal content are partners with cosine 1 and share their
     other partners, however many there are. An empty table gives no rows, other columns are ignored. Approximate: a
     pair is lost if no chain of candidates joins it; what comes out is exact.
@@ -243,13 +234,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, di
     release(spark)
     ids = reps.select(F.col("vec_id").alias("id"), "asks")
     comps, packed = cut(connected_components(pairs).join(ids, "id")), packed_vectors(vectors, dims)
-    if queries == "true":
-        large = cut(comps.groupBy("comp").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select("comp"))
-        linked = pairs.join(comps.join(large, "comp", "left_semi").select(F.col("id").alias("a")), "a", "left_semi")
-        best = exact_in_components(packed, comps.join(large, "comp", "left_anti"), min_cosine, k + 1, dims)
-        best = best if large.isEmpty() else best.union(exact_pairs(packed, linked, min_cosine, dims))
-    else:
-        best = exact_in_components(packed, comps, min_cosine, k + 1, dims)
+    best = exact_in_components(packed, comps, min_cosine, k + 1, dims)
     w = W.partitionBy("vec_id").orderBy(F.col("cosine").desc(), "other")
     top = lambda df: df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k + 1)
     best = cut(top(best))

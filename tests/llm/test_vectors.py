@@ -87,6 +87,14 @@ def test_candidates_of_large_components_are_reranked(data, monkeypatch):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_pairs_do_not_depend_on_the_size_of_components(data, monkeypatch):
+    _, df = data
+    found = lambda: {(r.vec_a, r.vec_b) for r in similar_pairs(similar_vectors(df, 10, 0.8, margin=-8)).collect()}
+    small = found()  # windows keep two candidates a row, which join the components
+    monkeypatch.setattr(neighbours, "TILE", 2)
+    assert found() == small
+
+
 def test_asked_vectors_get_k_partners(data):
     x, df = data
     rows = similar_vectors(df, 5, 0.4, queries="vec_id % 7 = 0", rest=True).collect()
