@@ -7,8 +7,10 @@ Thresholds are set per language on held-out labels, weighted to the share of suc
 from the scores of all documents and corrected by the rates of hits and false alarms on the held-out labels.
 """
 
+import math
 import pickle
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,21 +18,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.abuse_text import BUCKETS, Hasher, language, words
+from tessera.llm.abuse_text import BUCKETS, FORMS, Hasher, language, words
 from tessera.plans.lineage import cut
 
 CLASSES = ("clean", "abuse", "hate", "sexual")
-#: Bounds on the labelled texts that the model is fitted on (taken by hash of doc_id): their number, and their
-#: characters in all. One in ``HELD_OUT`` is kept for the thresholds.
-MAX_LABELLED, MAX_CHARS, HELD_OUT = 16_000, 100_000_000, 6
+#: The model is fitted on all labelled texts; a caller may bound their number or their characters in all (taken by hash
+#: of doc_id). One in ``HELD_OUT`` is kept for the thresholds.
+MAX_LABELLED, MAX_CHARS, HELD_OUT = None, math.inf, 6
 DIM, FILTERS, WIDTHS, EPOCHS, BATCH, SEED = 24, 40, (1, 2, 3, 4, 5), 10, 64, 20240305
 #: A label that the model gives a smaller probability is taken for an error.
 SANE = 0.15
 #: Words of one convolution; longer texts are cut with an overlap, which changes no maximum.
 SPAN = 4096
+#: Texts that are scored at once.
+PART = 20_000
 LANGUAGES = ("en", "de", "fr", "es", "other")
 
 
+class Texts(Sequence):
+    """Texts as (words, forms) bucket ids in a scratch file, so that their number is not bounded by memory."""
+
+    def __init__(self) -> None:
+        self.file, self.ends, self.all = tempfile.TemporaryFile(), [0], np.empty((0, FORMS), np.uint16)
+
+    def append(self, ids: np.ndarray) -> None:
+        self.file.write(ids.astype(np.uint16).tobytes())
+        self.ends.append(self.ends[-1] + len(ids))
+
+    def close(self) -> "Texts":
+        """Ends writing."""
+        self.file.flush()
+        if self.ends[-1]:
+            self.all = np.memmap(self.file, np.uint16, "r", shape=(self.ends[-1], FORMS))
+        return self
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.all[self.ends[i] : self.ends[i + 1]]
+
+
 class Model:
     """Parameters of the network and its forward pass."""
 
@@ -105,7 +133,12 @@ def padded(texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def scores_of(m: Model, texts: Sequence[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Class probabilities of the texts at these places."""
+    return np.concatenate([m.scores([texts[i] for i in at[a : a + PART]]) for a in range(0, len(at), PART)])
+
+
+def fit(texts: Sequence[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Trains on word ids and class numbers: Adagrad, dropout on the maxima, gradients only through the maxima."""
     rng = np.random.default_rng(seed)
     m = Model(rng)
@@ -121,7 +154,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
     size = np.array([len(t) for t in texts])
     for epoch in range(epochs):
         if epoch == epochs // 2:  # labels that contradict a confident fit are taken for errors
-            p = m.scores(texts)
+            p = scores_of(m, texts, np.arange(len(texts)))
             weight = np.where(p[np.arange(len(texts)), labels] < SANE, 0.0, 1.0)
         rate = 0.06 * (1 - 0.7 * epoch / epochs)
         order = np.argsort(size + rng.uniform(0, 1, len(size)) * np.maximum(8, 0.15 * size), kind="stable")
@@ -174,8 +207,8 @@ def best_threshold(score: np.ndarray, bad: np.ndarray, weight: np.ndarray) -> fl
     return float(np.clip((s[i] + low) / 2, 0.2, 0.9))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, text, lang, label (class number) of at most ``most`` reviewed texts of ``MAX_CHARS`` in all, by hash of doc_id.
+def labelled_texts(docs: DataFrame, labels: DataFrame, most: int | None = MAX_LABELLED) -> DataFrame:
+    """doc_id, text, lang, label (class number) of all reviewed texts; of ``most`` and ``MAX_CHARS`` in all where these are set.
 
     Labels are read without case and blanks; unknown and NULL labels count for nothing. A text goes by the commonest
     label of its reviewers; a tie between clean and another label, or no label, leaves it out.
@@ -187,41 +220,51 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
     number = F.when(F.col("clean") > bad, 0).when(F.col("clean") == bad, None)
     number = number.when((F.col("abuse") >= F.col("hate")) & (F.col("abuse") >= F.col("sexual")), 1).when(F.col("hate") >= F.col("sexual"), 2).otherwise(3)
     votes = votes.select("doc_id", number.alias("label")).filter("label IS NOT NULL")
-    votes = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    votes = votes if most is None else votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text", "lang").join(votes, "doc_id").filter("text IS NOT NULL")
+    if MAX_CHARS == math.inf:
+        return rows
     sofar = F.sum(F.length("text")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").rowsBetween(W.unboundedPreceding, W.currentRow))
     return rows.withColumn("_n", sofar).filter(F.col("_n") <= MAX_CHARS).drop("_n")
 
 
-def trained(rows: list[tuple[int, str, str | None, int]]) -> Model | None:
-    """A model fitted on (doc_id, text, lang, label) rows, with its held-out scores; None without labels of both kinds."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1], r[2] or ""))
-    hasher = Hasher()
-    split = [words(r[1]) for r in rows]
-    texts = [hasher.ids(w) for w in split]
-    y = np.array([r[3] for r in rows], np.int64)
+def trained(rows: Iterator[tuple[int, str, str | None, int]]) -> Model | None:
+    """A model fitted on (doc_id, text, lang, label) rows, ordered by them, with its held-out scores; None without labels of both kinds."""
+    hasher, kept = Hasher(), (Texts(), Texts())
+    labels, langs, hidden = [], [], []
+    for doc_id, text, tag, label in rows:
+        split = words(text)
+        hidden.append(doc_id * 2654435761 % (1 << 32) * HELD_OUT >> 32 == 0)
+        kept[hidden[-1]].append(hasher.ids(split))
+        labels.append(label), langs.append(language(split, tag))
+    y, lang, held = np.array(labels, np.int64), np.array(langs), np.array(hidden, bool)
     if len(set((y > 0).tolist())) < 2:
         return None
-    lang = np.array([language(w, r[2]) for w, r in zip(split, rows)])
-    held = np.array([r[0] * 2654435761 % (1 << 32) * HELD_OUT >> 32 for r in rows]) == 0
+    fitted, others = (t.close() for t in kept)
     if held.sum() < 50 or len(set((y[~held] > 0).tolist())) < 2:
-        held[:] = False
-    model = fit([t for t, h in zip(texts, held) if not h], y[~held])
+        at = iter(range(len(fitted))), iter(range(len(others)))
+        both = Texts()
+        for h in hidden:
+            both.append((others if h else fitted)[next(at[h])])
+        fitted, held = both.close(), np.zeros(len(held), bool)
+    model = fit(fitted, y[~held])
     if held.any():
-        score, bad = 1 - model.scores([t for t, h in zip(texts, held) if h])[:, 0], y[held] > 0
+        score, bad = 1 - scores_of(model, others, np.arange(len(others)))[:, 0], y[held] > 0
         sane = np.where(bad, score, 1 - score) >= SANE  # as in the fit
         model.held = (score[sane], bad[sane], lang[held][sane])
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model of the reviewed texts, fitted by one task (its input is bounded); None without labels of both kinds."""
+    """The model of the reviewed texts, fitted by one task on all of them, which it keeps on disk; None without labels of both kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained(rows) if rows else None)], pa.binary())], ["model"])
+        rows = (tuple(r.values()) for b in batches for a in range(0, b.num_rows, 1000) for r in b.slice(a, 1000).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained(rows))], pa.binary())], ["model"])
 
-    got = labelled_texts(docs, labels).select("doc_id", "text", "lang", "label").coalesce(1).mapInArrow(run, "model binary").first()
+    rows = labelled_texts(docs, labels).select("doc_id", "text", "lang", "label")
+    rows = rows.repartition(1).sortWithinPartitions("doc_id", "text", F.coalesce("lang", F.lit("")))
+    got = rows.mapInArrow(run, "model binary").first()
     return pickle.loads(got.model) if got else None
 
 

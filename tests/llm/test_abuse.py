@@ -94,3 +94,25 @@ def test_threshold():
     s = np.concatenate([np.linspace(0.6, 1, 40), np.linspace(0, 0.4, 100)])
     assert 0.4 < abuse.best_threshold(s, s > 0.5, np.ones(140)) < 0.6
     assert abuse.best_threshold(s[:3], np.array([True, False, False]), np.ones(3)) == 0.5
+
+
+def test_fit_takes_all_labelled_texts(spark):
+    n = 16_500
+    docs = spark.range(n).selectExpr("id AS doc_id", "repeat('x', if(id < 3, 40000000, 2)) AS text", "'en' AS lang", "'s' AS source", "'' AS score", "0 AS label")
+    labels = spark.range(n).selectExpr("id AS doc_id", "'r' AS reviewer", "'clean' AS label", "'' AS text")
+    assert abuse.labelled_texts(docs, labels).count() == n
+
+
+def test_fit_from_the_scratch_file(spark):
+    rnd = random.Random(2)
+    rows = [(i, t, "en", int(bad)) for i, t, bad in corpus(700)] + [(900, "", None, 0)]
+    h = Hasher()
+    texts = abuse.Texts()
+    for _, t, _, _ in rows:
+        texts.append(h.ids(words(t)))
+    texts.close()
+    assert len(texts) == len(rows) and all((texts[i] == h.ids(words(r[1]))).all() for i, r in enumerate(rows))
+    m = abuse.trained(iter(rows))
+    assert 50 <= len(m.held[0]) <= 200 and abuse.trained(iter([])) is None
+    few = abuse.trained(iter(rnd.sample(rows[:40], 30)))
+    assert few is not None and not len(few.held[0])
